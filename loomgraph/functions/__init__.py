@@ -1 +1,36 @@
+"""Edge, vertex and neighbourhood functions that operators are composed of, as DataFrame helpers."""
 
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def triplets(edges: DataFrame, values: DataFrame) -> DataFrame:
+    """Edges with both ends' values: src_* and dst_* for each column of ``values`` (vertex, ...)."""
+    rest = [c for c in values.columns if c != "vertex"]
+    for end in ("src", "dst"):
+        edges = edges.join(values.select(F.col("vertex").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in rest]), end)
+    return edges
+
+
+def aggregate_neighbors(edges: DataFrame, values: DataFrame, agg: Column, incoming: bool = True, where: Column | None = None) -> DataFrame:
+    """For each vertex an aggregate over its incoming or outgoing triplets; only those where ``where`` holds."""
+    t = triplets(edges, values)
+    return (t if where is None else t.where(where)).groupBy(F.col("dst" if incoming else "src").alias("vertex")).agg(agg)
+
+
+def expand_frontier(frontier: DataFrame, edges: DataFrame, agg: Column) -> DataFrame:
+    """One row for each vertex that the frontier's edges lead to; ``agg`` over them."""
+    return frontier.withColumnRenamed("vertex", "src").join(edges, "src").groupBy(F.col("dst").alias("vertex")).agg(agg)
+
+
+def top_k_edges(edges: DataFrame, by: Column, k: int, per: tuple[str, ...] = ("src",)) -> DataFrame:
+    """The first ``k`` edges of each vertex (or vertex and type) by ``by``, then by dst."""
+    return edges.withColumn("_n", F.row_number().over(Window.partitionBy(*per).orderBy(by, "dst"))).where(F.col("_n") <= k).drop("_n")
+
+
+def common_neighbors(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """first, second, neighbor for every neighbour that both ends of a pair have."""
+    e = edges.select("src", "dst").distinct()
+    return pairs.join(e.select(F.col("src").alias("first"), F.col("dst").alias("neighbor")), "first").join(e.select(F.col("src").alias("second"), F.col("dst").alias("neighbor")), ["second", "neighbor"]).select("first", "second", "neighbor")
