@@ -127,8 +127,8 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(_pooled(logit, b)[0], -500, 500)))
 
 
-def train(texts: list[bytes], labels: np.ndarray, *, size: int = 8, rounds: int = 70, rate: float = 0.1, decay: float = 1e-6, seed: int = 42) -> Model:
-    """Bucket vectors and softmax weights, learned together by full-batch Adam. Without both classes the model is its prior alone."""
+def train(texts: list[bytes], labels: np.ndarray, *, size: int = 8, rounds: int = 70, rate: float = 3.0, decay: float = 1e-6, seed: int = 42) -> Model:
+    """Bucket vectors and softmax weights, learned together by full-batch normalised gradient steps with momentum. Without both classes the model is its prior alone."""
     y = np.asarray(labels, float)
     prior = (y.sum() + 0.5) / (len(y) + 2)
     bias = float(np.log(prior / (1 - prior)))
@@ -138,7 +138,7 @@ def train(texts: list[bytes], labels: np.ndarray, *, size: int = 8, rounds: int
     used, local = np.unique(b.bucket, return_inverse=True)
     rng = np.random.default_rng(seed)
     params = [rng.normal(0, 0.1, (len(used), size)), rng.normal(0, 1, (size, 2)), np.array([-bias / 2, bias / 2])]
-    moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
+    moments = [np.zeros_like(p) for p in params]
     per_word, per_window = np.maximum(1, np.bincount(b.word, minlength=b.n_words)), np.maximum(1, np.bincount(b.window, minlength=b.n_windows))
     for step in range(1, rounds + 1):
         vectors, weights, offset = params
@@ -152,10 +152,10 @@ def train(texts: list[bytes], labels: np.ndarray, *, size: int = 8, rounds: int
         at_bucket = np.bincount(local, at_word[b.word], len(used))
         pull = vectors.T @ at_bucket
         grads = [np.outer(at_bucket, lean) + decay * vectors, np.stack([-pull, pull], 1), np.array([-1.0, 1.0]) * wrong.sum()]
-        for p, g, (m, v) in zip(params, grads, moments, strict=True):
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+        # Steps of one length for each array as a whole, so that a rare bucket doesn't move as fast as a telling one.
+        for p, g, m in zip(params, grads, moments, strict=True):
+            m += 0.2 * (g / (np.sqrt((g * g).sum()) + 1e-12) - m)
+            p -= rate * (1 - step / (rounds + 1)) * m
     vectors, weights, offset = params
     bucket = np.zeros(1 << BUCKET_BITS)
     bucket[used] = vectors @ (weights[:, 1] - weights[:, 0])
