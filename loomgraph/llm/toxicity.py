@@ -99,6 +99,35 @@ def bags(texts: list[bytes]) -> Bags:
     return Bags(np.concatenate(buckets).astype(np.int64), np.concatenate(words), len(start), window_words, window, len(win_text), win_text, len(texts), whole)
 
 
+def gathered(texts: list[bytes]) -> Bags:
+    """The bags of many texts, made a part at a time; features of each different word are kept once, in small integers."""
+    buckets, words, spots, windows, of_text, known = [], [], [], [], [], np.zeros(0, np.uint64)
+    number = np.zeros(0, np.int64)  # of each known hash, both in the hashes' order
+    n_windows = n_texts = 0
+    part: list[bytes] = []
+    for i, text in enumerate(texts):
+        part.append(text)
+        if sum(map(len, part)) < BATCH_BYTES // 4 and i + 1 < len(texts):
+            continue
+        b = bags(part).distinct()
+        fresh = ~np.isin(b.whole, known)
+        ids = np.zeros(b.n_words, np.int64)
+        ids[~fresh] = number[np.searchsorted(known, b.whole[~fresh])]
+        ids[fresh] = len(known) + np.arange(fresh.sum())
+        own = fresh[b.word]
+        buckets.append(b.bucket[own].astype(np.int32))
+        words.append(ids[b.word[own]].astype(np.int32))
+        spots.append(ids[b.window_words].astype(np.int32))
+        windows.append((b.window + n_windows).astype(np.int32))
+        of_text.append((b.window_text + n_texts).astype(np.int32))
+        n_windows, n_texts = n_windows + b.n_windows, n_texts + b.n_texts
+        known, number = np.concatenate([known, b.whole[fresh]]), np.concatenate([number, ids[fresh]])
+        order = np.argsort(known)
+        known, number = known[order], number[order]
+        part = []
+    return Bags(np.concatenate(buckets), np.concatenate(words), len(known), np.concatenate(spots), np.concatenate(windows), n_windows, np.concatenate(of_text), n_texts, known)
+
+
 def _mean(values: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(group, values, n) / np.maximum(1, np.bincount(group, minlength=n))
 
@@ -134,8 +163,11 @@ def train(texts: list[bytes], labels: np.ndarray, *, size: int = 8, rounds: int
     bias = float(np.log(prior / (1 - prior)))
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(1 << BUCKET_BITS), bias)
-    b = bags(texts).distinct()
-    used, local = np.unique(b.bucket, return_inverse=True)
+    b = gathered(texts)
+    here = np.zeros(1 << BUCKET_BITS, bool)
+    here[b.bucket] = True
+    used = np.flatnonzero(here)
+    local = (np.cumsum(here) - 1).astype(np.int32)[b.bucket]
     rng = np.random.default_rng(seed)
     params = [rng.normal(0, 0.1, (len(used), size)), rng.normal(0, 1, (size, 2)), np.array([-bias / 2, bias / 2])]
     moments = [np.zeros_like(p) for p in params]
@@ -170,7 +202,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     chosen = some[0].unionByName(some[1])  # of a bounded number of rows: small enough to broadcast
     rows = docs.select(F.col(id_col).alias("_d"), F.col(text_col).alias("_t")).join(F.broadcast(chosen), F.col("_d") == F.col("_id")).select("_d", "_y", "_t").collect()
     rows = sorted(rows, key=lambda r: (r[0], r[1], r[2] or ""))
-    return train([cleaned(r[2]) for r in rows], np.array([r[1] for r in rows]))
+    texts, marks = [cleaned(r[2]) for r in rows], np.array([r[1] for r in rows])
+    del rows
+    return train(texts, marks)
 
 
 def toxicity(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
