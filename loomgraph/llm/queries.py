@@ -79,13 +79,13 @@ QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_exact_t
 LINES_SQL = """
 parts AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
 lines AS (SELECT doc_id, i, trim(ls[i], ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS s FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM parts WHERE text IS NOT NULL)),
-numbered AS (SELECT *, row_number() OVER (ORDER BY doc_id, i) AS at FROM lines WHERE s <> ''),
-firsts AS (SELECT s, min(at) AS at, length(s) AS n FROM numbered GROUP BY s),
+numbered AS (SELECT *, row_number() OVER (ORDER BY doc_id, i) AS rn FROM lines WHERE s <> ''),
+firsts AS (SELECT s, min(rn) AS rn, length(s) AS n FROM numbered GROUP BY s),
 halves AS (
-  SELECT s, at, n - less AS n, left(s, ((n - less) // 2)::BIGINT) AS half, 0 AS side FROM firsts, (VALUES (0), (1)) v(less) WHERE n >= 20
-  UNION ALL SELECT s, at, n - less, right(s, (n - less - (n - less) // 2)::BIGINT), 1 FROM firsts, (VALUES (0), (1)) v(less) WHERE n >= 20),
-near AS (SELECT DISTINCT b.s FROM halves a JOIN halves b ON a.n = b.n AND a.side = b.side AND a.half = b.half AND a.at < b.at WHERE abs(length(a.s) - length(b.s)) <= 1 AND levenshtein(a.s, b.s) = 1),
-gone AS (SELECT l.doc_id, l.i FROM numbered l JOIN firsts f ON f.s = l.s LEFT JOIN near x ON x.s = l.s WHERE l.at <> f.at OR x.s IS NOT NULL),
+  SELECT s, rn, n - less AS n, left(s, ((n - less) // 2)::BIGINT) AS half, 0 AS side FROM firsts, (VALUES (0), (1)) v(less) WHERE n >= 20
+  UNION ALL SELECT s, rn, n - less, right(s, (n - less - (n - less) // 2)::BIGINT), 1 FROM firsts, (VALUES (0), (1)) v(less) WHERE n >= 20),
+near AS (SELECT DISTINCT b.s FROM halves a JOIN halves b ON a.n = b.n AND a.side = b.side AND a.half = b.half AND a.rn < b.rn WHERE abs(length(a.s) - length(b.s)) <= 1 AND levenshtein(a.s, b.s) = 1),
+gone AS (SELECT l.doc_id, l.i FROM numbered l JOIN firsts f ON f.s = l.s LEFT JOIN near x ON x.s = l.s WHERE l.rn <> f.rn OR x.s IS NOT NULL),
 per_doc AS (SELECT doc_id, list(i) AS drops FROM gone GROUP BY doc_id)
 """
 
@@ -94,9 +94,9 @@ WORDS_SQL = "coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0):
 ORACLE_SQL = {
     "op1_line_dedup": f"""WITH {LINES_SQL}
 SELECT p.doc_id, coalesce(len(p.ls), 0)::BIGINT AS n_lines, coalesce(len(d.drops), 0)::BIGINT AS n_dropped,
-  CASE WHEN d.drops IS NULL THEN p.text ELSE coalesce(array_to_string(list_transform(list_filter(range(1, len(p.ls) + 1), i -> NOT list_contains(d.drops, i)), i -> p.ls[i]), chr(10)), '') END AS text
+  CASE WHEN d.drops IS NULL THEN p.text ELSE coalesce(array_to_string(list_transform(list_filter(range(1, len(p.ls) + 1), lambda i: NOT list_contains(d.drops, i)), lambda i: p.ls[i]), chr(10)), '') END AS text
 FROM parts p LEFT JOIN per_doc d ON d.doc_id = p.doc_id""",
-    "op3_exact_topk": """WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    "op3_exact_topk": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e::DOUBLE[], c.e::DOUBLE[])::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
     "op7_warc": """WITH y AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS n, sha256(coalesce(html, '')) AS d FROM pages),
