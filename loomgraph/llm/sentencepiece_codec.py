@@ -2,7 +2,8 @@
 
 The model file's protobuf is parsed and rebuilt as a tokenizer: its normaliser,
 the metaspace marker for spaces, unigram scores or byte-pair merges by score, and
-byte fallback. Batches are encoded by several threads. Each text's ids are
+byte fallback. Batches are encoded by several threads, each different word once
+where pieces don't cross words. Each text's ids are
 compared with the sentencepiece library's; where they differ, that library's ids
 stand and ``parity`` is false.
 """
@@ -10,8 +11,10 @@ stand and ``parity`` is false.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,6 +24,10 @@ from loomgraph.llm.piece_model import BPE, BYTE, CONTROL, NORMAL, SPACE, UNKNOWN
 
 #: Characters encoded in one call, which bounds a worker's memory.
 BATCH_CHARS = 1 << 21
+#: A word with the spaces before it.
+WORD = f"{SPACE}*[^{SPACE}]+|{SPACE}+"
+#: Words whose ids a worker keeps at most between calls, and their longest; others are encoded anew in each call.
+KEPT_WORDS, KEPT_CHARS = 200_000, 32
 
 
 def build(model_path: str):
@@ -44,22 +51,49 @@ def build(model_path: str):
     steps += [normalizers.Prepend(SPACE)] if m.add_dummy_prefix else []
     tok.normalizer = normalizers.Sequence([*steps, normalizers.Replace(" ", SPACE)])
     if not any(SPACE in p.lstrip(SPACE) for p, _, kind in m.pieces if kind == NORMAL):  # then words with the spaces before them encode alone, and repeated ones come from a cache
-        tok.pre_tokenizer = pre_tokenizers.Split(Regex(f"{SPACE}*[^{SPACE}]+|{SPACE}+"), "isolated")
+        tok.pre_tokenizer = pre_tokenizers.Split(Regex(WORD), "isolated")
     tail = [decoders.Strip(" ", 1, 0)] if m.add_dummy_prefix else []
-    tok.decoder = decoders.Sequence([decoders.Replace(SPACE, " "), decoders.ByteFallback(), decoders.Fuse(), *tail])
+    tok.decoder = decoders.Sequence([decoders.ByteFallback(), decoders.Fuse(), decoders.Replace(SPACE, " "), *tail])
     return tok
 
 
+class Encoder:
+    """Ids of whole texts. Where words encode alone, each different word of a batch goes through the tokenizer once."""
+
+    def __init__(self, model_path: str):
+        from tokenizers import Tokenizer
+
+        self.tok = build(model_path)
+        self.bare = Tokenizer(self.tok.model)
+        self.alone = self.tok.pre_tokenizer is not None
+        self.known: dict[str, tuple[int, ...]] = {}
+
+    def __call__(self, texts: list[str]) -> list[list[int]]:
+        if not self.alone:
+            return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        words = [re.findall(WORD, self.tok.normalizer.normalize_str(t)) for t in texts]
+        fresh = list(set().union(*words) - self.known.keys())
+        for e, w in zip(self.bare.encode_batch_fast(fresh, add_special_tokens=False), fresh, strict=True):
+            self.known[w] = tuple(e.ids)
+        out = [list(chain.from_iterable(map(self.known.__getitem__, ws))) for ws in words]
+        for w in fresh:
+            if len(w) > KEPT_CHARS:
+                del self.known[w]
+        if len(self.known) > KEPT_WORDS:
+            self.known = {}
+        return out
+
+
 @lru_cache(2)
 def backends(model_path: str):
     import sentencepiece
 
-    return build(model_path), sentencepiece.SentencePieceProcessor(model_file=model_path)
+    return Encoder(model_path), sentencepiece.SentencePieceProcessor(model_file=model_path)
 
 
 def encode_decode(texts: list[str], model_path: str) -> list[tuple[list[int], str, bool]]:
     """(ids, decoded text, parity) of each text."""
-    tok, truth = backends(model_path)
+    encode, truth = backends(model_path)
     out: list[tuple[list[int], str, bool]] = []
     at = 0
     while at < len(texts):
@@ -68,10 +102,10 @@ def encode_decode(texts: list[str], model_path: str) -> list[tuple[list[int], st
             size += len(texts[end])
             end += 1
         part = texts[at:end]
-        ids = [e.ids for e in tok.encode_batch_fast(part, add_special_tokens=False)]
+        ids = encode(part)
         want = truth.encode(part, num_threads=1)
         final = [w if g != w else g for g, w in zip(ids, want, strict=True)]
-        decoded = tok.decode_batch(final, skip_special_tokens=False)
+        decoded = encode.tok.decode_batch(final, skip_special_tokens=False)
         out += [(f, d, g == w) for f, d, g, w in zip(final, decoded, ids, want, strict=True)]
         at = end
     return out
