@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from loomgraph.llm.line_dedup import line_dedup
 from loomgraph.llm.queries import model_path, table
 from loomgraph.llm.sentencepiece_codec import sentencepiece_codec
-from loomgraph.llm.simhash_dedup import simhash_dedup
+from loomgraph.llm.shingle_dedup import shingle_dedup
 from loomgraph.llm.source_mix import source_mix
 from loomgraph.llm.toxicity import fit, toxicity
 from loomgraph.plans.shared import shared_dir
@@ -35,8 +35,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of the smallest id stays. Documents without words aren't copies of each other; rows with a null id stay."""
-    marked = simhash_dedup(docs.where(f"text RLIKE '{WORD_SQL}'")).where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    """Of each group of near copies (five-word Jaccard 0.8 or more) the document of the smallest id stays. Documents without words aren't copies of each other; rows with a null id stay."""
+    marked = shingle_dedup(docs.where(f"text RLIKE '{WORD_SQL}'")).where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(marked, F.col("doc_id") == F.col("_gone"), "left_anti")
 
 
@@ -59,7 +59,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 STAGES: list[tuple[str, Stage]] = [
     ("toxicity", drop_toxic),
     ("line dedup", drop_repeated_lines),
-    ("SimHash near-dedup", drop_near_copies),
+    ("near-dedup", drop_near_copies),
     ("mixing sources to target weights", mix_sources),
     ("SentencePiece encoding and decoding", encode_pieces),
 ]

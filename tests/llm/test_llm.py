@@ -275,3 +275,30 @@ def test_training_leaves_out_a_fifth(spark):
     got = toxicity(docs(spark, rows), fit(docs(spark, rows), labels)).collect()
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and r["predicted"] == int(r["score"] >= 0.5) for r in got)
     assert sum(r["predicted"] == 1 - r["doc_id"] % 2 for r in got) >= 58
+
+
+@pytest.mark.parametrize("group", [64, 3])
+def test_near_copies_brute(spark, group):
+    import corpus_pipeline as c
+    from loomgraph.llm import shingle_dedup as sd
+
+    rng = random.Random(8)
+    pool = [f"w{i}" for i in range(400)]
+    passage = rng.choices(pool, k=12)
+    texts = [rng.choices(pool, k=rng.randrange(40, 120)) + passage for _ in range(30)]
+    for _ in range(120):
+        x = list(rng.choice(texts))
+        for _ in range(rng.randrange(1, 4)):
+            x[rng.randrange(len(x))] = rng.choice(pool)
+        texts.append(x)
+    texts += [["one", "two"], ["One", "two"], ["one", "three"]]
+    grams = [{tuple(w.lower() for w in x[i : i + 5]) for i in range(max(1, len(x) - 4))} for x in texts]
+    near = np.array([[5 * len(a & b) >= 4 * len(a | b) for b in grams] for a in grams])
+    label = np.arange(len(grams))
+    while not ((low := np.where(near, label[None, :], len(grams)).min(1)) == label).all():
+        label = low
+    d = docs(spark, [(i, " ".join(x)) for i, x in enumerate(texts)])
+    got = {r["doc_id"]: r["component_id"] for r in sd.shingle_dedup(d, group=group).collect()}
+    assert got == dict(enumerate(label.tolist())) and 30 < len(set(label)) < 140
+    assert {r["doc_id"] for r in c.drop_near_copies(spark, d, "").collect()} == set(label.tolist())
+    assert sd.shingle_dedup(d.limit(0)).count() == 0
