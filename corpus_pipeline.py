@@ -15,7 +15,7 @@ from loomgraph.llm.sentencepiece_codec import sentencepiece_codec
 from loomgraph.llm.shingle_dedup import shingle_dedup
 from loomgraph.llm.source_mix import source_mix
 from loomgraph.llm.toxicity import fit, toxicity
-from loomgraph.plans.shared import shared_dir
+from loomgraph.plans.shared import shared_dir, written
 
 #: A word, as written inside a SQL string.
 WORD_SQL = r"[^\\x20\\x09-\\x0D]+"
@@ -34,16 +34,24 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return out.select(*[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
+def with_keys(docs: DataFrame) -> DataFrame:
+    """The rows with ``_key``, written: null ids last, then the id, a hash of the whole row, and a number that tells equal rows apart."""
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.xxhash64(*docs.columns).alias("hash"), F.monotonically_increasing_id().alias("row"))
+    return written(docs.withColumn("_key", key))[0]
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word Jaccard 0.8 or more) the document of the smallest id stays. Documents without words aren't copies of each other; rows with a null id stay."""
-    marked = shingle_dedup(docs.where(f"text RLIKE '{WORD_SQL}'")).where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(marked, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """Of each group of near copies (five-word Jaccard 0.8 or more) one row stays, that of the smallest id; ids may repeat or be null. Documents without words aren't copies of each other."""
+    rows = with_keys(docs)
+    marked = shingle_dedup(rows.where(f"text RLIKE '{WORD_SQL}'"), id_col="_key").where("_key.row != component_id.row").select(F.col("_key.row").alias("_gone"))
+    return rows.join(marked, F.col("_key.row") == F.col("_gone"), "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents by the words the mix takes: none, the row goes; up to its size, a row; beyond that a second row. A part taken is the document's first words."""
-    mixed = source_mix(docs).select(F.col("doc_id").alias("_id"), "size", "taken").groupBy("_id").agg(F.first("size").alias("size"), F.max("taken").alias("taken"))
-    held = docs.join(mixed, F.col("doc_id").eqNullSafe(F.col("_id"))).where("taken > 0 OR size = 0")
+    """Rows by the words the mix takes of each: none, the row goes; up to its size, a row; beyond that a second row. A part taken is the document's first words."""
+    keyed = with_keys(docs)
+    mixed = source_mix(keyed, key_col="_key").select(F.col("_key.row").alias("_row"), "size", "taken")
+    held = keyed.join(mixed, F.col("_key.row") == F.col("_row")).where("taken > 0 OR size = 0")
     rows = held.select("*", F.explode(F.expr("CASE WHEN taken > size THEN array(size, taken - size) ELSE array(taken) END")).alias("_words"))
     text = F.expr(r"CASE WHEN _words >= size THEN text ELSE array_join(slice(regexp_extract_all(text, '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+', 0), 1, cast(_words AS int)), '') END")
     rows = rows.withColumn("_text", text)

@@ -56,8 +56,8 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...], ratio: float, m
     return rows.withColumn("target", F.when(F.col("_full"), F.col("_cap")).otherwise(rest * F.col("_w") / shared)).select(*sources.columns, "target")
 
 
-def source_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), ratio: float = 1.5, most: float = 2.0, block_words: int = 32, seed: int = 42) -> DataFrame:
-    """``(id, size, source_size, target, taken)`` of every row.
+def source_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), ratio: float = 1.5, most: float = 2.0, block_words: int = 32, seed: int = 42, key_col: str | None = None) -> DataFrame:
+    """``(id, size, source_size, target, taken)`` of every row; with ``key_col`` that column too, which breaks the ties left in the order.
 
     Null and empty texts have size 0 and take part with 0. A null source is a
     source of its own, last in order. Rows that repeat count each. Equal places in
@@ -65,7 +65,7 @@ def source_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     """
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint")
     mark = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    base, _ = written(docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), size.alias("size"), mark.alias("_mark")))
+    base, _ = written(docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), size.alias("size"), mark.alias("_mark"), *([F.col(key_col).alias("_key")] if key_col else [])))
     shards_n = min(MOST_SHARDS, max(1, base.count() // SHARD_DOCS))
     base = base.withColumn("_shard", F.expr(f"cast(conv(substring(_mark, 1, 8), 16, 10) AS bigint) % {shards_n}"))
     shards = base.groupBy("source", "_shard").agg(F.sum("size").alias("_shard_size"))
@@ -74,9 +74,9 @@ def source_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     named = sources.select(F.col("source").alias("_source"), "source_size", "target", "_blocks")
     held = shards.join(named, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     quotas = sainte_lague(held, "_shard_size", "_blocks", ["source"], ["_shard"], "_quota").select(F.col("source").alias("_source"), F.col("_shard").alias("_s"), "source_size", "target", "_shard_size", (F.col("_quota") * block_words).alias("_take"))
-    line = Window.partitionBy("source", "_shard").orderBy("_mark", "_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    line = Window.partitionBy("source", "_shard").orderBy("_mark", "_id", "size", *(["_key"] if key_col else [])).rowsBetween(Window.unboundedPreceding, 0)
     placed = base.withColumn("_start", F.sum("size").over(line) - F.col("size"))
     placed = placed.join(quotas, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_shard") == F.col("_s")))
     part = "least(greatest({r} - _start, 0L), size)"
     taken = F.expr(f"{part.format(r='_take')} + {part.format(r='(_take - _shard_size)')}")
-    return placed.select(F.col("_id").alias(id_col), "size", "source_size", F.col("target").cast("double").alias("target"), taken.alias("taken"))
+    return placed.select(*([F.col("_key").alias(key_col)] if key_col else []), F.col("_id").alias(id_col), "size", "source_size", F.col("target").cast("double").alias("target"), taken.alias("taken"))

@@ -302,3 +302,27 @@ def test_near_copies_brute(spark, group):
     assert got == dict(enumerate(label.tolist())) and 30 < len(set(label)) < 140
     assert {r["doc_id"] for r in c.drop_near_copies(spark, d, "").collect()} == set(label.tolist())
     assert sd.shingle_dedup(d.limit(0)).count() == 0
+
+
+def test_pipeline_repeated_and_null_ids(spark):
+    import corpus_pipeline as c
+
+    base = [" ".join(f"{x}{i}" for i in range(40)) for x in "abcd"]
+    rows = [(1, base[0]), (1, base[0]), (1, base[1]), (2, base[1]), (None, base[2]), (None, base[2]), (None, base[3]), (0, base[3]), (3, None), (3, None)]
+    d = docs(spark, rows).withColumn("n_chars", F.length("text").cast("bigint"))
+    got = sorted((str(r["doc_id"]), str(r["text"])) for r in c.drop_near_copies(spark, d, "").collect())
+    assert got == sorted((str(i), str(t)) for i, t in [(1, base[0]), (1, base[1]), (None, base[2]), (0, base[3]), (3, None), (3, None)])
+    rng = random.Random(9)
+    rows = [(rng.choice([None, 1, 2, i + 10]), " ".join(f"t{i}w{j}" for j in range(rng.randrange(1, 90)))) for i in range(40)]
+    d = docs(spark, rows).withColumn("n_chars", F.length("text").cast("bigint"))
+    want = sorted((str(r["doc_id"]), r["size"], r["taken"]) for r in source_mix(d).collect())
+    of: dict = {}
+    for r in c.mix_sources(spark, d, "").collect():
+        words = (r["text"] or "").split()
+        of.setdefault(words[0].split("w")[0], []).append(words)
+    mixed = []
+    for i, (d_id, t) in enumerate(rows):
+        own, whole = of.get(f"t{i}", []), t.split()
+        assert all(w == whole[: len(w)] for w in own) and len(own) <= 2
+        mixed.append((str(d_id), len(whole), sum(map(len, own))))
+    assert sorted(mixed) == want
