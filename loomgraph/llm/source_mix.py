@@ -4,7 +4,9 @@ The mix is counted in blocks of equal size. Blocks go to sources by the highest
 quotients target/(2k + 1), and a source's blocks to its shards by the highest
 quotients size/(2k + 1): integer quotas per shard. A shard lines its documents up
 in a seeded order and takes its first blocks; past its end it starts again, so
-nothing is taken more than twice while targets stay within twice the size.
+nothing is taken more than twice while targets stay within twice the size. Shards
+get no more whole blocks than they have words for; what then lacks is handed out as
+parts of blocks, so a source falls short only where all its words are taken twice.
 """
 
 from __future__ import annotations
@@ -20,18 +22,20 @@ SHARD_DOCS = 512
 MOST_SHARDS = 65_536
 
 
-def sainte_lague(df: DataFrame, votes: str, seats: str, by: list[str], tie: list[str], quota: str) -> DataFrame:
-    """Adds ``quota``: the ``seats`` (equal within ``by``) given to rows by the highest quotients votes/(2k + 1), ties by ``tie``.
+def sainte_lague(df: DataFrame, votes: str, seats: str, by: list[str], tie: list[str], quota: str, bound: str | None = None) -> DataFrame:
+    """Adds ``quota``: the ``seats`` (equal within ``by``) given to rows by the highest quotients votes/(2k + 1), ties by ``tie``, none above its ``bound``.
 
     Rounded shares come out of the same quotients for a number of seats close by;
     only the quotients around them are ranked to add or take away the difference.
     """
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     rows = df.withColumn("_all", F.sum(votes).over(group)).withColumn("_share", F.expr(f"CASE WHEN _all > 0 THEN {votes} * {seats} / _all ELSE 0D END"))
-    rows = rows.withColumn("_a", F.expr("cast(floor(_share + 0.5) AS bigint)")).withColumn("_off", F.abs(F.col(seats) - F.sum("_a").over(group)))
-    rows = rows.withColumn("_m", F.expr(f"CASE WHEN _all > 0 THEN cast(ceil(_off * {votes} / _all) AS bigint) + 2 ELSE 0L END")).withColumn("_base", F.expr("greatest(0L, _a - _m)"))
+    rows = rows.withColumn("_a", F.expr(f"least(cast(floor(_share + 0.5) AS bigint), {bound or 'bigint(9223372036854775807)'})")).withColumn("_off", F.abs(F.col(seats) - F.sum("_a").over(group)))
+    rows = rows.withColumn("_open", F.sum(votes).over(group) if bound is None else F.coalesce(F.sum(F.when(F.col("_a") < F.col(bound), F.col(votes))).over(group), F.lit(0)))
+    rows = rows.withColumn("_m", F.expr(f"CASE WHEN _open > 0 THEN cast(ceil(_off * {votes} / _open) AS bigint) + 2 ELSE 0L END")).withColumn("_base", F.expr("greatest(0L, _a - _m)"))
     rows = rows.withColumn("_need", F.col(seats) - F.sum("_base").over(group))
-    tried = rows.select(*by, *tie, votes, "_need", F.explode(F.sequence("_base", F.col("_a") + F.col("_m"))).alias("_k")).withColumn("_q", F.expr(f"{votes} / (2 * _k + 1)"))
+    last = F.col("_a") + F.col("_m") if bound is None else F.least(F.col("_a") + F.col("_m"), F.greatest(F.col(bound) - 1, F.col("_base")))
+    tried = rows.select(*by, *tie, votes, *([bound] if bound else []), "_need", F.explode(F.sequence("_base", last)).alias("_k")).where(f"_k < {bound}" if bound else "true").withColumn("_q", F.expr(f"{votes} / (2 * _k + 1)"))
     order = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(F.desc("_q"), *[F.asc_nulls_last(t) for t in tie], "_k")
     won = tried.withColumn("_n", F.row_number().over(order)).where(f"_n <= _need AND {votes} > 0").groupBy(*by, *tie).agg(F.count("*").alias("_won"))
     keys = [*by, *tie]
@@ -66,14 +70,20 @@ def source_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint")
     mark = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
     base, _ = written(docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), size.alias("size"), mark.alias("_mark"), *([F.col(key_col).alias("_key")] if key_col else [])))
-    shards_n = min(MOST_SHARDS, max(1, base.count() // SHARD_DOCS))
-    base = base.withColumn("_shard", F.expr(f"cast(conv(substring(_mark, 1, 8), 16, 10) AS bigint) % {shards_n}"))
+    dealt = base.groupBy("source").agg(F.expr(f"least({MOST_SHARDS}L, greatest(1L, count(*) div {SHARD_DOCS}))").alias("_shards")).withColumnRenamed("source", "_source")
+    base = base.join(dealt, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    base = base.withColumn("_shard", F.expr("cast(conv(substring(_mark, 1, 8), 16, 10) AS bigint) % _shards")).drop("_shards")
     shards = base.groupBy("source", "_shard").agg(F.sum("size").alias("_shard_size"))
     sources = source_targets(shards.groupBy("source").agg(F.sum("_shard_size").alias("source_size")), weights, ratio, most)
     sources = sainte_lague(sources.withColumn("_seats", F.round(F.sum("target").over(Window.partitionBy(F.lit(0))) / block_words).cast("bigint")), "target", "_seats", [], ["source"], "_blocks")
     named = sources.select(F.col("source").alias("_source"), "source_size", "target", "_blocks")
     held = shards.join(named, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    quotas = sainte_lague(held, "_shard_size", "_blocks", ["source"], ["_shard"], "_quota").select(F.col("source").alias("_source"), F.col("_shard").alias("_s"), "source_size", "target", "_shard_size", (F.col("_quota") * block_words).alias("_take"))
+    held = held.withColumn("_bound", F.expr(f"2 * _shard_size div {block_words}"))
+    given = sainte_lague(held, "_shard_size", "_blocks", ["source"], ["_shard"], "_quota", "_bound").withColumn("_free", F.expr(f"2 * _shard_size - _quota * {block_words}"))
+    own = Window.partitionBy("source")
+    given = given.withColumn("_lack", (F.col("_blocks") - F.sum("_quota").over(own)) * block_words).withColumn("_before", F.sum("_free").over(own.orderBy("_shard").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_free"))
+    take = F.expr(f"_quota * {block_words} + least(greatest(_lack - _before, 0L), _free)")
+    quotas = given.select(F.col("source").alias("_source"), F.col("_shard").alias("_s"), "source_size", "target", "_shard_size", take.alias("_take"))
     line = Window.partitionBy("source", "_shard").orderBy("_mark", "_id", "size", *(["_key"] if key_col else [])).rowsBetween(Window.unboundedPreceding, 0)
     placed = base.withColumn("_start", F.sum("size").over(line) - F.col("size"))
     placed = placed.join(quotas, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_shard") == F.col("_s")))

@@ -326,3 +326,17 @@ def test_pipeline_repeated_and_null_ids(spark):
         assert all(w == whole[: len(w)] for w in own) and len(own) <= 2
         mixed.append((str(d_id), len(whole), sum(map(len, own))))
     assert sorted(mixed) == want
+
+
+def test_source_mix_many_shards(spark, monkeypatch):
+    rng = random.Random(10)
+    rows = [(i, " ".join(["w"] * rng.randrange(5, 60)), "big") for i in range(1500)]
+    rows += [(2000 + i, " ".join(["w"] * 10), "small") for i in range(100)] + [(3000 + i, " ".join(["w"] * 20), "tiny") for i in range(9)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    for n in (2, 8):
+        monkeypatch.setattr("loomgraph.llm.source_mix.SHARD_DOCS", n)
+        got = source_mix(d).join(d.select("doc_id", "source"), "doc_id").collect()
+        assert all(0 <= r["taken"] <= 2 * r["size"] for r in got)
+        for s in ("big", "small", "tiny"):
+            own = [r for r in got if r["source"] == s]
+            assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 32, (n, s)
