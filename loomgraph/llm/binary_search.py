@@ -13,7 +13,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame
 
-from loomgraph.llm.vector_blocks import best_pairs, usable
+from loomgraph.llm.vector_blocks import best_pairs, once, usable
 
 #: Bits of a query's components, and standard deviations the error bound covers.
 PLANES, SIGMAS = 6, 3.0
@@ -69,11 +69,20 @@ def binary_search(vectors: DataFrame, query: Column, *, k: int = 5, seed: int =
             def exact(at: np.ndarray, q: np.ndarray = queries[i]) -> np.ndarray:
                 return (matrix[at] * q).sum(1) / (norms[at] * np.sqrt((q * q).sum()))
 
-            first = np.argpartition(-cosine, min(2 * k, others) - 1)[: min(2 * k, others)]
-            kth = np.sort(exact(first))[-min(k, others)]
+            n = min(2 * k, others)
+            while True:
+                first = np.argpartition(-cosine, n - 1)[:n]
+                scores = exact(first)
+                best = scores[once(ids[first], scores)]
+                if len(best) >= k or n == others:
+                    break
+                n = min(2 * n, others)
+            kth = np.sort(best)[-min(k, len(best))]
             chosen = np.flatnonzero((cosine + error >= kth) & (ids != qid))
             chosen = np.union1d(chosen, first)
             scores = exact(chosen)
+            single = once(ids[chosen], scores)
+            chosen, scores = chosen[single], scores[single]
             top = np.lexsort((ids[chosen], -scores))[:k]
             out[0].extend([qid] * len(top))
             out[1].extend(ids[chosen[top]].tolist())

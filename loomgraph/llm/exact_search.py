@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.vector_blocks import best_pairs, sample, usable
+from loomgraph.llm.vector_blocks import best_pairs, once, sample, usable
 
 #: Vectors the pivots are chosen from (a bounded sample; results don't depend on it), and candidates evaluated at once.
 PIVOT_SAMPLE, STEP = 512, 64
@@ -61,11 +61,14 @@ def exact_search(vectors: DataFrame, query: Column, *, k: int = 5, scale: float
             while at < len(order) and (kth is None or bound[order[at]] >= kth):
                 scores = np.concatenate([scores, (exact[order[at : at + STEP]] * q).sum(1)])
                 at += STEP
-                if len(scores) >= k:
-                    kth = np.sort(scores)[-k]
+                own_best = scores[once(ids[order[: len(scores)]], scores)]
+                if len(own_best) >= k:
+                    kth = np.sort(own_best)[-k]
             keep = scores >= kth if kth is not None else np.ones(len(scores), bool)
             found = ids[order[: len(scores)]][keep]
             scores = scores[keep]
+            single = once(found, scores)
+            found, scores = found[single], scores[single]
             top = np.array(sorted(range(len(found)), key=lambda j: (-scores[j], found[j]))[:k], np.int64)
             out[0].extend([qid] * len(top))
             out[1].extend(found[top].tolist())

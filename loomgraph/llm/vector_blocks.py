@@ -31,15 +31,24 @@ def sample(vectors: DataFrame, most: int) -> np.ndarray:
     return np.array([r for r in rows if len(r) == size])
 
 
+def once(ids: np.ndarray, scores: np.ndarray) -> np.ndarray:
+    """Places of rows that differ in id or score, one each; a score counts as it is held in 64 bits."""
+    if len(np.unique(ids)) == len(ids):
+        return np.arange(len(ids))
+    held = scores.tolist() if scores.dtype == float else [min(max(int(x), -(2**63)), 2**63 - 1) for x in scores]
+    return np.array(sorted(dict(zip(zip(ids.tolist(), held), range(len(ids)))).values()), np.int64)
+
+
 def best_pairs(vectors: DataFrame, query: Column, k: int, prepare: Callable[[np.ndarray], list[np.ndarray]], search: Callable[..., tuple[np.ndarray, np.ndarray, np.ndarray]], score: str) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` best of all candidates for each row where ``query`` holds.
 
     ``prepare(matrix)`` gives a block's index arrays, kept with it;
     ``search(query ids, queries, query arrays, ids, vectors, arrays)`` gives
-    (query id, id, score) of at least the ``k`` best in a block. Vectors compare
-    with those of their length. Rows that agree in id and score count once; a
-    query is never its own candidate.
+    (query id, id, score) of at least the ``k`` best in a block, each (id, score)
+    counted once. Vectors compare with those of their length. Rows that agree in
+    id and score count once; a query is never its own candidate.
     """
+    vectors, _ = written(vectors.select("_id", "_v").dropDuplicates())
     count = vectors.count()
     n_blocks, n_queries = max(1, -(-count // BLOCK)), max(1, -(-count // (50 * BLOCK)))
 

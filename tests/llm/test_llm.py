@@ -340,3 +340,18 @@ def test_source_mix_many_shards(spark, monkeypatch):
         for s in ("big", "small", "tiny"):
             own = [r for r in got if r["source"] == s]
             assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 32, (n, s)
+
+
+@pytest.mark.parametrize("search", [exact_search, binary_search])
+def test_search_counts_copies_once(spark, search):
+    rng = np.random.default_rng(11)
+    x = np.rint(rng.normal(0, 9, (60, 6)))
+    x[7] = x[0] * 2
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    want = {(r["query_id"], r["rank"], r["vec_id"]) for r in search(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.expr("_id % 50 = 0")).collect()}
+    doubled = spark.createDataFrame(rows * 2 + [rows[7]] * 30, "vec_id bigint, embedding array<double>")
+    assert {(r["query_id"], r["rank"], r["vec_id"]) for r in search(doubled, F.expr("_id % 50 = 0")).collect()} == want and len(want) == 10
+    y = (256 * x).astype(int) if search is exact_search else x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q in (0, 50):
+        s = y @ y[q]
+        assert {v for a, _, v in want if a == q} == {int(j) for j in [j for j in np.lexsort((np.arange(60), -s)) if j != q][:5]}
