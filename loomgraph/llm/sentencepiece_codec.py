@@ -2,25 +2,39 @@
 
 The model file's protobuf is parsed and rebuilt as a tokenizer: its normaliser,
 the metaspace marker for spaces, unigram scores or byte-pair merges by score, and
-byte fallback. Batches are encoded by several threads. Each text's ids are
-compared with the sentencepiece library's; where they differ, that library's ids
-stand and ``parity`` is false.
+byte fallback. Batches are encoded by several threads, and all ids are compared
+with the sentencepiece library's; where they differ, that library's ids stand and
+``parity`` is false.
+
+In a byte-pair model without normalisation, where no piece has a space mark behind
+another character, no merge crosses a word start. A text's ids are then those of
+its words in a row. Workers encode, compare and decode each different word once;
+texts with a word that differs are compared as a whole.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import sha256
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.piece_model import BPE, BYTE, CONTROL, NORMAL, SPACE, UNKNOWN, read_model
+from loomgraph.llm.piece_model import BPE, BYTE, CONTROL, NORMAL, SPACE, UNKNOWN, PieceModel, read_model
+from loomgraph.llm.row_types import with_id
 
 #: Characters encoded in one call, which bounds a worker's memory.
 BATCH_CHARS = 1 << 21
+#: Words a worker remembers before it starts again, and their longest (speed and memory only, no result depends on them).
+WORDS_KEPT, LONG_WORD = 400_000, 64
+#: Words encoded in a row.
+ROW_WORDS = 512
 
 
 def build(model_path: str):
@@ -50,43 +64,131 @@ def build(model_path: str):
     return tok
 
 
-@lru_cache(2)
-def backends(model_path: str):
-    import sentencepiece
+class Word(NamedTuple):
+    """What is remembered of a word: its ids as 32-bit integers and as decimal numbers each after a comma, its decoded text, whether both libraries agree."""
+
+    ids: bytes
+    numbers: str
+    text: str
+    same: bool
+
+
+def by_words(m: PieceModel) -> bool:
+    """Whether a text's ids are those of its words in a row."""
+    return m.model_type == BPE and not m.charsmap and not m.remove_extra_whitespaces and m.add_dummy_prefix and not any(SPACE in p.lstrip(SPACE) for p, _, kind in m.pieces if kind == NORMAL)
+
+
+class Codec:
+    """Both libraries for one model file."""
+
+    def __init__(self, model_path: str):
+        import sentencepiece
+
+        self.tok, self.truth = build(model_path), sentencepiece.SentencePieceProcessor(model_file=model_path)
+        m = read_model(model_path)
+        self.by_words = by_words(m)
+        self.begins = np.array([p.startswith(SPACE) for p, _, _ in m.pieces])
+        self.number = [f",{i}" for i in range(len(m.pieces))]
+        self.words: dict[str, Word] = {}
+
+    def whole(self, texts: list[str]) -> list[tuple[list[int], str, bool]]:
+        """(ids, decoded text, parity) of each text, compared as a whole."""
+        out: list[tuple[list[int], str, bool]] = []
+        at = 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (end == at or size + len(texts[end]) <= BATCH_CHARS):
+                size += len(texts[end])
+                end += 1
+            part = texts[at:end]
+            ids = [e.ids for e in self.tok.encode_batch_fast(part, add_special_tokens=False)]
+            want = self.truth.encode(part, num_threads=1)
+            decoded = self.tok.decode_batch(want, skip_special_tokens=False)
+            out += [(w, d, g == w) for g, w, d in zip(ids, want, decoded, strict=True)]
+            at = end
+        return out
+
+    @staticmethod
+    def split(text: str) -> list[str]:
+        """A text's words, each without the one space (the first word's is the model's own) before it; further spaces stay in front."""
+        text = text.replace(SPACE, " ")
+        if not text:
+            return []
+        return text.split(" ") if "  " not in text and text[0] != " " else [w[1:] for w in re.findall(" +[^ ]*", " " + text)]
+
+    def learn(self, words: set[str]) -> dict[str, Word]:
+        """``words`` and what is known of them; long ones aren't remembered."""
+        if len(self.words) > WORDS_KEPT:
+            self.words.clear()
+        new = words.difference(self.words)
+        got: dict[str, Word] = {}
+        if "" in new:  # the space mark alone, which neither library gives for an empty text
+            new.remove("")
+            i = self.truth.piece_to_id(SPACE)
+            got[""] = Word(np.array([i], np.int32).tobytes(), self.number[i], " ", self.tok.token_to_id(SPACE) == i)
+        plain = [w for w in new if w[0] != " " and len(w) <= LONG_WORD]
+        for at in range(0, len(plain), ROW_WORDS):
+            row = plain[at : at + ROW_WORDS]
+            self.rows(row, got)
+        alone = [w for w in new if w not in got]
+        for w, (ids, text, same) in zip(alone, self.whole(alone), strict=True):
+            got[w] = Word(np.array(ids, np.int32).tobytes(), "".join(map(self.number.__getitem__, ids)), " " + text, same)
+        self.words.update((w, x) for w, x in got.items() if len(w) <= LONG_WORD)
+        return {w: x for w, x in got.items() if len(w) > LONG_WORD}
+
+    def rows(self, row: list[str], got: dict[str, Word]) -> None:
+        """Words in a row, encoded, compared and decoded as one text and cut where pieces with a space mark begin; nothing where the libraries differ or the cuts don't fit."""
+        ((ids, text, same),) = self.whole([" ".join(row)])
+        flat = np.array(ids, np.int32)
+        begin = np.flatnonzero(self.begins[flat]).tolist()
+        texts = text.split(" ")
+        if not same or len(begin) != len(row) or len(texts) != len(row):
+            return
+        raw, number = flat.tobytes(), self.number
+        for w, t, i, j in zip(row, texts, begin, [*begin[1:], len(ids)], strict=True):
+            got[w] = Word(raw[4 * i : 4 * j], "".join([number[x] for x in ids[i:j]]), " " + t, True)
+
+    def encode_decode(self, texts: list[str]) -> Iterator[tuple[bytes, str, str, bool]]:
+        """(ids as 32-bit integers, as decimal numbers, decoded text, parity) of each text; a null or empty one has no ids."""
+
+        def told(ids: list[int], text: str, same: bool) -> tuple[bytes, str, str, bool]:
+            return np.array(ids, np.int32).tobytes(), ",".join(map(str, ids)), text, same
+
+        if not self.by_words:
+            yield from (told(*x) for x in self.whole(texts))
+            return
+        parts = list(map(self.split, texts))
+        rare = self.learn(set().union(*parts))
+        known = {**self.words, **rare} if rare else self.words
+        for text, words in zip(texts, parts, strict=True):
+            found = list(map(known.__getitem__, words))
+            ids, numbers, decoded, same = zip(*found) if found else ((), (), (), ())
+            if all(same):
+                yield b"".join(ids), "".join(numbers)[1:], "".join(decoded)[1:], True
+            else:
+                yield told(*self.whole([text])[0])
+
 
-    return build(model_path), sentencepiece.SentencePieceProcessor(model_file=model_path)
+@lru_cache(2)
+def codec(model_path: str) -> Codec:
+    return Codec(model_path)
 
 
 def encode_decode(texts: list[str], model_path: str) -> list[tuple[list[int], str, bool]]:
     """(ids, decoded text, parity) of each text."""
-    tok, truth = backends(model_path)
-    out: list[tuple[list[int], str, bool]] = []
-    at = 0
-    while at < len(texts):
-        end, size = at, 0
-        while end < len(texts) and (end == at or size + len(texts[end]) <= BATCH_CHARS):
-            size += len(texts[end])
-            end += 1
-        part = texts[at:end]
-        ids = [e.ids for e in tok.encode_batch_fast(part, add_special_tokens=False)]
-        want = truth.encode(part, num_threads=1)
-        final = [w if g != w else g for g, w in zip(ids, want, strict=True)]
-        decoded = tok.decode_batch(final, skip_special_tokens=False)
-        out += [(f, d, g == w) for f, d, g, w in zip(final, decoded, ids, want, strict=True)]
-        at = end
-    return out
+    return [(np.frombuffer(ids, np.int32).tolist(), text, same) for ids, _, text, same in codec(model_path).encode_decode(texts)]
 
 
 def sentencepiece_codec(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text", threads: int = 2, ids: bool = True) -> DataFrame:
     """``(id, n_tokens, token_ids, decoded, round_trip, parity)`` of every row, without a shuffle.
 
-    Null text is encoded as empty: no ids, decoded to "", round trip true. With
+    Null text is encoded as empty: no ids, decoded to "", round trip true. Rows
+    that repeat come each; other columns are left out. A text of any length is one
+    row's work: its words in turn, a word without spaces in one call. With
     ``ids=False`` the ids and the decoded text come as SHA-256 digests only:
     ``ids_sha256`` (of the ids as decimal numbers joined by commas), ``decoded_sha256``.
     """
-    from hashlib import sha256
-
-    base = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    base = docs.select(F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"))
     names = ["n_tokens", *(["token_ids", "decoded"] if ids else ["ids_sha256", "decoded_sha256"]), "round_trip", "parity"]
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,15 +197,16 @@ def sentencepiece_codec(docs: DataFrame, model_path: str, *, id_col: str = "doc_
             for at in range(0, big.num_rows, 256):
                 b = big.slice(at, 256)
                 texts = b.column(1).to_pylist()
-                got = encode_decode(texts, model_path)
-                cols = [b.column(0), pa.array([len(g[0]) for g in got], pa.int64())]
+                raw, numbers, decoded, same = zip(*codec(model_path).encode_decode(texts))
+                n = [len(x) // 4 for x in raw]
+                cols = [b.column(0), pa.array(n, pa.int64())]
                 if ids:
-                    cols += [pa.array([g[0] for g in got], pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.string())]
+                    flat = pa.Array.from_buffers(pa.int32(), sum(n), [None, pa.py_buffer(b"".join(raw))])
+                    cols += [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), flat), pa.array(decoded, pa.string())]
                 else:
-                    cols += [pa.array([sha256(",".join(map(str, g[0])).encode()).hexdigest() for g in got]), pa.array([sha256(g[1].encode()).hexdigest() for g in got])]
-                cols += [pa.array([g[1] == t for g, t in zip(got, texts, strict=True)]), pa.array([g[2] for g in got], pa.bool_())]
+                    cols += [pa.array([sha256(x.encode()).hexdigest() for x in numbers]), pa.array([sha256(x.encode()).hexdigest() for x in decoded])]
+                cols += [pa.array([d == t for d, t in zip(decoded, texts, strict=True)]), pa.array(same, pa.bool_())]
                 yield pa.RecordBatch.from_arrays(cols, names=[id_col, *names])
 
-    kind = docs.schema[id_col].dataType.simpleString()
     own = "token_ids array<int>, decoded string" if ids else "ids_sha256 string, decoded_sha256 string"
-    return base.mapInArrow(code, f"`{id_col}` {kind}, n_tokens bigint, {own}, round_trip boolean, parity boolean")
+    return base.mapInArrow(code, with_id(docs, id_col, f"n_tokens bigint, {own}, round_trip boolean, parity boolean"))
