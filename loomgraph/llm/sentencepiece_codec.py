@@ -19,7 +19,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
-from typing import NamedTuple
+from itertools import pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -64,13 +64,8 @@ def build(model_path: str):
     return tok
 
 
-class Word(NamedTuple):
-    """What is remembered of a word: its ids as 32-bit integers and as decimal numbers each after a comma, its decoded text, whether both libraries agree."""
-
-    ids: bytes
-    numbers: str
-    text: str
-    same: bool
+#: What is remembered of a word: its ids as 32-bit integers and as decimal numbers each after a comma, its decoded text, whether both libraries agree.
+Word = tuple[bytes, str, str, bool]
 
 
 def by_words(m: PieceModel) -> bool:
@@ -89,10 +84,14 @@ class Codec:
         self.by_words = by_words(m)
         self.begins = np.array([p.startswith(SPACE) for p, _, _ in m.pieces])
         self.number = [f",{i}" for i in range(len(m.pieces))]
+        self.digits = np.array([len(x) for x in self.number])
+        self.row_tok = build(model_path)
+        self.row_tok.pre_tokenizer = None  # a row's words differ, so none would come from its cache
         self.words: dict[str, Word] = {}
 
-    def whole(self, texts: list[str]) -> list[tuple[list[int], str, bool]]:
+    def whole(self, texts: list[str], tok=None) -> list[tuple[list[int], str, bool]]:
         """(ids, decoded text, parity) of each text, compared as a whole."""
+        tok = tok or self.tok
         out: list[tuple[list[int], str, bool]] = []
         at = 0
         while at < len(texts):
@@ -101,9 +100,9 @@ class Codec:
                 size += len(texts[end])
                 end += 1
             part = texts[at:end]
-            ids = [e.ids for e in self.tok.encode_batch_fast(part, add_special_tokens=False)]
+            ids = [e.ids for e in tok.encode_batch_fast(part, add_special_tokens=False)]
             want = self.truth.encode(part, num_threads=1)
-            decoded = self.tok.decode_batch(want, skip_special_tokens=False)
+            decoded = tok.decode_batch(want, skip_special_tokens=False)
             out += [(w, d, g == w) for g, w, d in zip(ids, want, decoded, strict=True)]
             at = end
         return out
@@ -117,36 +116,33 @@ class Codec:
         return text.split(" ") if "  " not in text and text[0] != " " else [w[1:] for w in re.findall(" +[^ ]*", " " + text)]
 
     def learn(self, words: set[str]) -> dict[str, Word]:
-        """``words`` and what is known of them; long ones aren't remembered."""
+        """Remembers ``words``; what is known of long ones, which aren't remembered, is returned."""
         if len(self.words) > WORDS_KEPT:
             self.words.clear()
         new = words.difference(self.words)
-        got: dict[str, Word] = {}
         if "" in new:  # the space mark alone, which neither library gives for an empty text
-            new.remove("")
             i = self.truth.piece_to_id(SPACE)
-            got[""] = Word(np.array([i], np.int32).tobytes(), self.number[i], " ", self.tok.token_to_id(SPACE) == i)
-        plain = [w for w in new if w[0] != " " and len(w) <= LONG_WORD]
+            self.words[""] = np.array([i], np.int32).tobytes(), self.number[i], "", self.tok.token_to_id(SPACE) == i
+        plain = [w for w in new if w and w[0] != " " and len(w) <= LONG_WORD]
         for at in range(0, len(plain), ROW_WORDS):
-            row = plain[at : at + ROW_WORDS]
-            self.rows(row, got)
-        alone = [w for w in new if w not in got]
-        for w, (ids, text, same) in zip(alone, self.whole(alone), strict=True):
-            got[w] = Word(np.array(ids, np.int32).tobytes(), "".join(map(self.number.__getitem__, ids)), " " + text, same)
+            self.learn_row(plain[at : at + ROW_WORDS])
+        alone = [w for w in new if w not in self.words]
+        got = {w: (np.array(ids, np.int32).tobytes(), "".join(map(self.number.__getitem__, ids)), text, same) for w, (ids, text, same) in zip(alone, self.whole(alone), strict=True)}
         self.words.update((w, x) for w, x in got.items() if len(w) <= LONG_WORD)
         return {w: x for w, x in got.items() if len(w) > LONG_WORD}
 
-    def rows(self, row: list[str], got: dict[str, Word]) -> None:
+    def learn_row(self, row: list[str]) -> None:
         """Words in a row, encoded, compared and decoded as one text and cut where pieces with a space mark begin; nothing where the libraries differ or the cuts don't fit."""
-        ((ids, text, same),) = self.whole([" ".join(row)])
+        ((ids, text, same),) = self.whole([" ".join(row)], self.row_tok)
         flat = np.array(ids, np.int32)
-        begin = np.flatnonzero(self.begins[flat]).tolist()
+        begin = np.flatnonzero(self.begins[flat])
         texts = text.split(" ")
         if not same or len(begin) != len(row) or len(texts) != len(row):
             return
-        raw, number = flat.tobytes(), self.number
-        for w, t, i, j in zip(row, texts, begin, [*begin[1:], len(ids)], strict=True):
-            got[w] = Word(raw[4 * i : 4 * j], "".join([number[x] for x in ids[i:j]]), " " + t, True)
+        raw, numbers = flat.tobytes(), "".join(map(self.number.__getitem__, ids))
+        digits = np.concatenate([[0], np.cumsum(self.digits[flat])])
+        at, to = (4 * np.append(begin, len(ids))).tolist(), digits[np.append(begin, len(ids))].tolist()
+        self.words.update(zip(row, zip([raw[i:j] for i, j in pairwise(at)], [numbers[i:j] for i, j in pairwise(to)], texts, repeat(True))))
 
     def encode_decode(self, texts: list[str]) -> Iterator[tuple[bytes, str, str, bool]]:
         """(ids as 32-bit integers, as decimal numbers, decoded text, parity) of each text; a null or empty one has no ids."""
@@ -164,7 +160,7 @@ class Codec:
             found = list(map(known.__getitem__, words))
             ids, numbers, decoded, same = zip(*found) if found else ((), (), (), ())
             if all(same):
-                yield b"".join(ids), "".join(numbers)[1:], "".join(decoded)[1:], True
+                yield b"".join(ids), "".join(numbers)[1:], " ".join(decoded), True
             else:
                 yield told(*self.whole([text])[0])
 
