@@ -11,14 +11,14 @@ at the false-discovery level.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from loomgraph.llm.row_types import with_id
 
 #: The patterns, their kinds and least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -129,9 +129,4 @@ def secret_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             joined = [pa.array([",".join(f"{k}:{s}:{e}" for k, s, e in f[x]) for f in found], pa.string()) for x in ("base", "all")]
             yield pa.RecordBatch.from_arrays([b.column(0), *counts, *joined], names=[id_col, *[f"n_{k}" for k in KINDS], "base_spans", "spans"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_assign bigint, n_access bigint, n_hex bigint, n_random bigint, base_spans string, spans string")
-
-
-def digest(spans: str) -> str:
-    return hashlib.sha256(spans.encode()).hexdigest()
+    return docs.select(f"`{id_col}`", f"`{text_col}`").mapInArrow(run, with_id(docs, id_col, "n_assign bigint, n_access bigint, n_hex bigint, n_random bigint, base_spans string, spans string"))

@@ -1,11 +1,12 @@
-"""Near copies by the exact Jaccard similarity of word shingles, found without loss by prefix filters.
+"""Pairs of texts by the exact Jaccard similarity of word shingles, found without loss by prefix filters.
 
 Sets of similarity t share one of their first n - ceil(t n) + 1 members in any
 common order. The order is that of the members' hashes; where a member is in the
 prefixes of many sets, these sets are ordered again by how rare their members are
 among them. What is crowded even then is mostly one large group of near copies:
 its sets are compared with one of them first, and then those that are still in
-different components with each other. Every pair found is checked exactly.
+different components with each other. Sets that are known to be in one component
+aren't compared at all. Every pair found is checked exactly.
 """
 
 from __future__ import annotations
@@ -18,24 +19,38 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from loomgraph.llm.simhash_dedup import SEED
 from loomgraph.plans.components import connected_labels
-from loomgraph.plans.shared import written
+from loomgraph.plans.shared import forget, written
 
 #: Sets that share a key and are all paired at once; the limit sets the order of the work, not what is found.
 GROUP = 64
 
 
-def shingles(text: str | None, shingle: int = 5) -> np.ndarray:
-    """The sorted distinct hashes of a text's lower-case shingles; a shorter text is one shingle, a text without words none."""
+def hashed(text: str | None, shingle: int, seed: int) -> np.ndarray:
+    """The hashes of a text's lower-case shingles in order; a shorter text is one shingle, a text without words none."""
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
     grams = map(b" ".join, zip(*[words[i:] for i in range(shingle)])) if len(words) >= shingle else [b" ".join(words)]
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64))
+    return np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(seed)), np.uint64)
+
+
+def majority(marks: np.ndarray) -> int:
+    """The bits set in over half of the hashes, as a signed number."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(marks), 1 << 16):
+        ones += np.unpackbits(marks[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(marks), bitorder="little").view(np.int64)[0])
+
+
+def _signature(s: np.ndarray, seed: int) -> int | None:
+    import xxhash
+
+    return int(np.uint64(xxhash.xxh64_intdigest(s.tobytes(), seed)).view(np.int64)) if len(s) else None
 
 
 def _lists(parts: list[np.ndarray]) -> pa.Array:
@@ -43,70 +58,92 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(flat))
 
 
-def shingle_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: Fraction = Fraction(4, 5), group: int = GROUP) -> DataFrame:
-    """``(id, component_id)`` of every row: components of the pairs of similarity ``least`` or more, by the smallest id in them.
-
-    Texts without words aren't copies of anything. Equal sets share a row until the end.
-    """
-    import xxhash
-
+def shingle_marks(docs: DataFrame, *, id_col: str, text_col: str, shingle: int, least: Fraction, seed: int) -> DataFrame:
+    """``(_id, sig, fp, n, pre)`` of every row: what names its set of shingles (null without words), its fingerprint, the set's size and prefix."""
     p, q = least.numerator, least.denominator
 
-    def sign(s: np.ndarray) -> int | None:
-        return int(np.uint64(xxhash.xxh64_intdigest(s.tobytes(), SEED)).view(np.int64)) if len(s) else None
-
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingles(t.as_py(), shingle) for t in b.column(1)]
+            marks = [hashed(t.as_py(), shingle, seed) for t in b.column(1)]
+            sets = list(map(np.unique, marks))
             pre = [s[: len(s) + p * len(s) // -q + 1] if len(s) else s for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(sign, sets), pa.int64()), pa.array([len(s) for s in sets], pa.int64()), _lists(pre)], names=[id_col, "sig", "n", "pre"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_signature(s, seed) for s in sets], pa.int64()), pa.array(map(majority, marks), pa.int64()), pa.array([len(s) for s in sets], pa.int64()), _lists(pre)], names=["_id", "sig", "fp", "n", "pre"])
+
+    own = StructType([StructField("_id", docs.schema[id_col].dataType), *StructType.fromDDL("sig bigint, fp bigint, n bigint, pre array<bigint>").fields])
+    return docs.select(f"`{id_col}`", f"`{text_col}`").mapInArrow(mark, own)
+
+
+def same_or_near(docs: DataFrame, own: DataFrame, first: DataFrame, *, text_col: str, shingle: int, least: Fraction, seed: int, group: int = GROUP) -> DataFrame:
+    """``(vertex, label)``: components of the sets ``own`` (sig, n, pre) of similarity ``least`` or more.
+
+    ``first`` has pairs (a, b) that are likely to be linked; they are checked
+    before all else, so that what they connect needn't be compared again.
+    """
+    p, q = least.numerator, least.denominator
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 512):
-                sets = [shingles(t.as_py(), shingle) for t in b.column(0).slice(at, 512)]
-                yield pa.RecordBatch.from_arrays([pa.array(map(sign, sets), pa.int64()), _lists(sets)], names=["sig", "hashes"])
+                sets = [np.unique(hashed(t.as_py(), shingle, seed)) for t in b.column(0).slice(at, 512)]
+                yield pa.RecordBatch.from_arrays([pa.array([_signature(s, seed) for s in sets], pa.int64()), _lists(sets)], names=["sig", "hashes"])
 
     def counted(keys: DataFrame) -> DataFrame:
         return keys.withColumn("df", F.count("*").over(Window.partitionBy("key")))
 
-    def paired(keys: DataFrame, more: str = "true") -> DataFrame:
-        """``(a, b)``: sets that share a key and whose sizes allow the similarity."""
-        on = F.expr(f"x.key = y.key AND x.sig < y.sig AND x.n * {p} <= y.n * {q} AND y.n * {p} <= x.n * {q} AND {more}")
+    def paired(keys: DataFrame) -> DataFrame:
+        """``(a, b)``: sets of different components that share a key and whose sizes allow the similarity."""
+        on = F.expr(f"x.key = y.key AND x.sig < y.sig AND x.c != y.c AND x.n * {p} <= y.n * {q} AND y.n * {p} <= x.n * {q}")
         return keys.alias("x").join(keys.alias("y"), on).selectExpr("x.sig AS a", "y.sig AS b").distinct()
 
-    marked, _ = written(docs.select(id_col, text_col).mapInArrow(mark, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, sig bigint, n bigint, pre array<bigint>"))
-    own, _ = written(marked.where("sig IS NOT NULL").groupBy("sig").agg(F.min(id_col).alias("least"), F.first("n").alias("n"), F.first("pre").alias("pre")))
-    shared, _ = written(counted(own.select("sig", "n", F.explode("pre").alias("key"))).where("df > 1"))
-    crowd, _ = written(shared.where(f"df > {group}").select("sig").distinct())
-    pairs, _ = written(paired(shared.where(f"df <= {group}")))
-    needed, _ = written(pairs.selectExpr("explode(array(a, b)) AS sig").unionByName(crowd).distinct())
-    sets = docs.select(text_col).mapInArrow(whole, "sig bigint, hashes array<bigint>").join(needed, "sig", "left_semi")
-    sets, _ = written(sets.groupBy("sig").agg(F.first("hashes").alias("hashes")))
+    def sets_of(wanted: DataFrame) -> tuple[DataFrame, str]:
+        """``(sig, hashes)`` of the sets named."""
+        found = docs.select(f"`{text_col}`").mapInArrow(whole, "sig bigint, hashes array<bigint>").join(wanted, "sig", "left_semi")
+        return written(found.groupBy("sig").agg(F.first("hashes").alias("hashes")))
 
-    def checked(pairs: DataFrame) -> DataFrame:
-        a, b = (sets.select(F.col("sig").alias(x), F.col("hashes").alias(f"_{x}")) for x in "ab")
-        found, _ = written(pairs.join(a, "a").join(b, "b").where(f"size(array_intersect(_a, _b)) * {p + q} >= {p} * (size(_a) + size(_b))").select("a", "b"))
-        return found
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.selectExpr("explode(array(a, b)) AS sig").distinct()
 
+    def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        a, b = (sets.select(F.col("sig").alias(x), F.col("hashes").alias(f"_{x}")) for x in "ab")
+        return written(pairs.join(a, "a").join(b, "b").where(f"size(array_intersect(_a, _b)) * {p + q} >= {p} * (size(_a) + size(_b))").select("a", "b"))[0]
+
+    def named(keys: DataFrame, labels: DataFrame) -> DataFrame:
+        """Keys with the component ``c`` of their set, where sets of different components share them."""
+        all_ = keys.drop("c").join(labels, F.col("sig") == F.col("vertex"), "left").selectExpr("sig", "n", "key", "coalesce(label, sig) AS c")
+        both = all_.withColumns({"_low": F.min("c").over(Window.partitionBy("key")), "_high": F.max("c").over(Window.partitionBy("key"))})
+        return both.where("_low != _high").drop("_low", "_high")
+
+    spark, held = docs.sparkSession, []
+    likely, path = sets_of(ends(first))
+    links = checked(first, likely)
+    forget(spark, path)
+    labels, _ = written(connected_labels(links, "a", "b"))
+    shared, path = written(counted(named(own.select("sig", "n", F.explode("pre").alias("key")), labels)))
+    held.append(path)
+    crowd, _ = written(shared.where(f"df > {group}").select("sig").distinct())
+    pairs, _ = written(paired(shared.where(f"df <= {group}")))
+    sets, path = sets_of(ends(pairs).unionByName(crowd).distinct())
+    held.append(path)
     big = None
     if not crowd.isEmpty():
-        again = counted(sets.join(crowd, "sig", "left_semi").select("sig", F.size("hashes").cast("bigint").alias("n"), F.explode("hashes").alias("key")))
+        again = sets.join(crowd, "sig", "left_semi").join(own.select("sig", "n"), "sig").select("sig", "n", F.explode("hashes").alias("key"))
+        again = counted(again)
         own_keys = Window.partitionBy("sig")  # the members that no other set has come first, and needn't be ranked
         again = again.where("df > 1").withColumn("_i", F.col("n") - F.count("*").over(own_keys) + F.row_number().over(own_keys.orderBy("df", "key"))).where(f"_i <= n - (n * {p} + {q - 1}) div {q} + 1")
-        again, _ = written(counted(again.select("sig", "n", "key")).where("df > 1"))
+        again, path = written(counted(named(again.select("sig", "n", "key"), labels)))
+        held.append(path)
         big = again.where(f"df > {group}")
         hubs = big.groupBy("key").agg(F.min("sig").alias("a"))
         star = big.join(hubs, "key").where("sig != a").select("a", F.col("sig").alias("b"))
         pairs = pairs.unionByName(paired(again.where(f"df <= {group}"))).unionByName(star).distinct()
-    links = checked(pairs)
+    links = links.unionByName(checked(pairs, sets))
     labels = connected_labels(links, "a", "b")
     if big is not None and not big.isEmpty():
-        named = big.join(labels, F.col("sig") == F.col("vertex"), "left").select("sig", "n", "key", F.coalesce("label", "sig").alias("c"))
-        mixed = named.groupBy("key").agg(F.min("c").alias("_low"), F.max("c").alias("_high")).where("_low != _high").select("key")
-        cross, _ = written(named.join(mixed, "key", "left_semi"))
-        labels = connected_labels(links.unionByName(checked(paired(cross, "x.c != y.c"))), "a", "b")
-    joined, _ = written(own.join(labels, F.col("sig") == F.col("vertex"), "left").select("sig", "least", F.coalesce("label", "sig").alias("root")))
-    roots = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = joined.join(roots, "root").select(F.col("sig").alias("_sig"), "component_id")
-    return marked.join(named, F.col("sig") == F.col("_sig"), "left").select(id_col, F.expr(f"CASE WHEN sig IS NULL THEN `{id_col}` ELSE component_id END").alias("component_id"))
+        labels, _ = written(labels)
+        cross, path = written(named(big, labels))
+        held.append(path)
+        labels = connected_labels(links.unionByName(checked(paired(cross), sets)), "a", "b")
+    labels, _ = written(labels)
+    for path in held:
+        forget(spark, path)
+    return labels

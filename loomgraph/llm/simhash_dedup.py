@@ -1,18 +1,30 @@
 """SimHash near-duplicates found by Golay-code fuzzy hashing.
 
-A fingerprint's 64 bits fall into segments of 23, 23 and 18. The perfect Golay
-code has one codeword within three bits of any 23-bit word. A segment gets the
-codewords of itself and of all words one bit away, six at most; two segments that
-differ in up to two bits share one. With three differing bits in all, either the
-third segment agrees and one of the others differs in one bit at most, or the
-first two differ in two bits together at most. Keys are made for these cases,
-fingerprints that share a key are compared, and what is linked forms components.
+A fingerprint's 64 bits fall into segments a, b and c of 23, 23 and 18. The perfect
+Golay code has one codeword within three bits of any 23-bit word. Two sets of
+codewords stand for a segment: the near ones (of itself and of all words one bit
+away, six at most), of which segments that differ in up to two bits share one, and
+the lower ones (its own, and of the near ones those of smaller index), of which
+segments that differ in one bit share one, for it is one of the two's own.
+
+Three differing bits fall into few cases. If c agrees, a or b differs in one bit at
+most: a key of c and a lower codeword. Else a and b differ in two bits together: in
+the one alone (a key of the other as it is and a near codeword), or in a bit each,
+and then half of c agrees (a key of two lower codewords and that half). Each key has
+30 bits or more. Fingerprints that share a key are compared, and what is linked
+forms components.
+
+For near copies of a given Jaccard similarity of shingles these links come first,
+each checked exactly. Such texts may differ in more bits than keys can bridge, so
+what is still in different components is then found by prefix filters
+(:mod:`loomgraph.llm.shingle_dedup`), which lose no pair.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from fractions import Fraction
 from functools import lru_cache
 from itertools import combinations, islice, repeat
 
@@ -21,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.llm.row_types import with_id
+from loomgraph.llm.shingle_dedup import same_or_near, shingle_marks
 from loomgraph.plans.components import connected_labels
 from loomgraph.plans.shared import written
 
@@ -59,7 +73,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             fps = [fingerprint(t.as_py(), shingle) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=[id_col, "fp"])
 
-    return docs.select(id_col, text_col).mapInArrow(mark, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fp bigint")
+    return docs.select(f"`{id_col}`", f"`{text_col}`").mapInArrow(mark, with_id(docs, id_col, "fp bigint"))
 
 
 @lru_cache(1)
@@ -94,14 +108,14 @@ def near_codewords(words: np.ndarray) -> np.ndarray:
 
 
 def fuzzy_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) for every key of every fingerprint."""
+    """(row, key) for every key of every fingerprint; a key's highest bits tell its kind."""
     bits = fps.view(np.uint64)
     a, b, c = ((bits >> np.uint64(s) & np.uint64((1 << n) - 1)).astype(np.int64) for s, n in ((0, 23), (23, 23), (46, 18)))
     near_a, near_b = near_codewords(a), near_codewords(b)
-    both = np.where((near_a[:, :, None] < 0) | (near_b[:, None, :] < 0), -1, near_a[:, :, None] << 12 | near_b[:, None, :]).reshape(len(fps), -1)
-    with_a = np.where(near_a < 0, -1, 1 << 40 | c[:, None] << 12 | near_a)
-    with_b = np.where(near_b < 0, -1, 2 << 40 | c[:, None] << 12 | near_b)
-    keys = np.concatenate([both, with_a, with_b], 1)
+    low_a, low_b = (np.where(near <= codewords(own)[:, None], near, -1) for near, own in ((near_a, a), (near_b, b)))
+    both = np.where((low_a[:, :, None] < 0) | (low_b[:, None, :] < 0), -1, low_a[:, :, None] << 12 | low_b[:, None, :]).reshape(len(fps), -1)
+    parts = [(c, low_a, 12), (c, low_b, 12), (a, near_b, 12), (b, near_a, 12), (c & 511, both, 24), (c >> 9, both, 24)]
+    keys = np.concatenate([np.where(code < 0, -1, kind << 56 | own[:, None] << width | code) for kind, (own, code, width) in enumerate(parts)], 1)
     row, at = np.nonzero(keys >= 0)
     return row, keys[row, at]
 
@@ -191,18 +205,43 @@ def hub_links(fps: DataFrame, most: int = 3) -> DataFrame:
     return rows.join(hubs, "word").where("fp != hub").selectExpr("fp AS a", "hub AS b").distinct()
 
 
-def simhash_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, most: int = 3, group: int = GROUP) -> DataFrame:
+def simhash_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, most: int = 3, group: int = GROUP, least: Fraction | None = None) -> DataFrame:
     """``(id, fingerprint, component_id)`` of every row.
 
     Null and empty texts have fingerprint 0 and are linked like any other. The
     component's id is the smallest in it; null ids count only where there is no
-    other. Copies share a row until the end, so no group of copies is gathered.
+    other. Rows that repeat and copies share a row until the end, so no group of
+    copies is gathered. A long text is read a part of its words at a time.
+
+    With ``least`` links aren't of ``most`` differing bits but of that Jaccard
+    similarity or more between the texts' shingles, repeats aside, all of them;
+    texts without words then are copies of nothing.
     """
+    if least is not None:
+        return near_copies(docs, id_col=id_col, text_col=text_col, shingle=shingle, most=most, group=group, least=least)
     marked, _ = written(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle))
-    own = marked.groupBy("fp").agg(F.min(id_col).alias("least"))
+    own = marked.groupBy("fp").agg(F.min(f"`{id_col}`").alias("least"))
     labels = connected_labels(links(own, most, group), "a", "b")
     joined = own.join(labels, F.col("fp") == F.col("vertex"), "left").select("fp", "least", F.coalesce("label", "fp").alias("root"))
     joined, _ = written(joined)
     roots = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = joined.join(roots, "root").select(F.col("fp").alias("_fp"), "component_id")
-    return marked.join(named, F.col("fp") == F.col("_fp")).select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = joined.join(roots, "root").select(F.col("fp").alias("_fp"), F.col("component_id").alias("_component"))
+    return marked.join(named, F.col("fp") == F.col("_fp")).select(f"`{id_col}`", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("_component").alias("component_id"))
+
+
+def near_copies(docs: DataFrame, *, id_col: str, text_col: str, shingle: int, most: int, group: int, least: Fraction) -> DataFrame:
+    """:func:`simhash_dedup` with ``least``: fingerprint links, checked, then prefix filters between what they leave apart."""
+    marked, _ = written(shingle_marks(docs, id_col=id_col, text_col=text_col, shingle=shingle, least=least, seed=SEED))
+    own, _ = written(marked.where("sig IS NOT NULL").groupBy("sig").agg(F.min("_id").alias("least"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("pre").alias("pre")))
+    # A fingerprint's smallest set stands for it: the others link with that one, linked fingerprints through theirs.
+    heads, _ = written(own.groupBy("fp").agg(F.min("sig").alias("head"), F.count("*").alias("sets")))
+    found = links(heads.select("fp"), most, group)
+    across = found.join(heads.selectExpr("fp AS a", "head AS _a"), "a").join(heads.selectExpr("fp AS b", "head AS _b"), "b").selectExpr("_a AS a", "_b AS b")
+    within = own.select("sig", "fp").join(heads.where("sets > 1"), "fp").where("sig != head").selectExpr("head AS a", "sig AS b")
+    first, _ = written(across.unionByName(within))
+    labels = same_or_near(docs, own.select("sig", "n", "pre"), first, text_col=text_col, shingle=shingle, least=least, seed=SEED)
+    joined, _ = written(own.join(labels, F.col("sig") == F.col("vertex"), "left").select("sig", "least", F.coalesce("label", "sig").alias("root")))
+    roots = joined.groupBy("root").agg(F.min("least").alias("_component"))
+    named = joined.join(roots, "root").select(F.col("sig").alias("_sig"), "_component")
+    out = marked.select("_id", "sig", "fp").join(named, F.col("sig") == F.col("_sig"), "left")
+    return out.select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.expr("CASE WHEN sig IS NULL THEN _id ELSE _component END").alias("component_id"))

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.piece_model import BPE, NORMAL, SPACE, read_model
+from loomgraph.llm.row_types import with_id
 
 #: Characters a chunk of a long text has, and a batch of texts.
 CHUNK_CHARS = 1 << 16
@@ -371,13 +372,12 @@ def counter(model_path: str) -> Counter:
 
 def token_counts(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096) -> DataFrame:
     """``(id, n_bytes, n_tokens, over_limit)`` of every row. Null text counts as empty: 0 bytes, 0 tokens. No shuffle, so repeated rows are counted each."""
-    base = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    base = docs.select(F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n = pa.array(counter(model_path).counts(b.column(2).to_pylist()), pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), n], names=[id_col, "n_bytes", "n_tokens"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    sized = base.select(F.col(id_col), F.octet_length("_text").cast("bigint").alias("n_bytes"), "_text")
-    return sized.mapInArrow(count, f"`{id_col}` {kind}, n_bytes bigint, n_tokens bigint").withColumn("over_limit", F.col("n_tokens") > limit)
+    sized = base.select(F.col(f"`{id_col}`"), F.octet_length("_text").cast("bigint").alias("n_bytes"), "_text")
+    return sized.mapInArrow(count, with_id(docs, id_col, "n_bytes bigint, n_tokens bigint")).withColumn("over_limit", F.col("n_tokens") > limit)

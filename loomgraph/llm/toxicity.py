@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.llm.row_types import with_id
+
 BUCKET_BITS, GRAMS, WINDOW, SMOOTH = 18, (3, 4, 5), 12, 4.0
 #: Labelled documents that training sees at most, of class 0 and of class 1, by the order of a hash of the id: a bounded sample.
 TRAIN_DOCS = (1600, 800)
@@ -225,5 +227,5 @@ def toxicity(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
                     part, size = [], 0
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(out) if out else np.zeros(0))], names=[id_col, "score"])
 
-    scored = docs.select(id_col, text_col).mapInArrow(score, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, score double")
-    return scored.select(id_col, F.expr(f"coalesce(crc32(cast(`{id_col}` AS string)) % 5 = 0, false)").alias("held_out"), "score", F.expr("cast(score >= 0.5 AS int)").alias("predicted"))
+    scored = docs.select(f"`{id_col}`", f"`{text_col}`").mapInArrow(score, with_id(docs, id_col, "score double"))
+    return scored.select(f"`{id_col}`", F.expr(f"coalesce(crc32(cast(`{id_col}` AS string)) % 5 = 0, false)").alias("held_out"), "score", F.expr("cast(score >= 0.5 AS int)").alias("predicted"))

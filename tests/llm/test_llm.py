@@ -15,7 +15,7 @@ from loomgraph.llm.exact_search import exact_search
 from loomgraph.llm.line_dedup import find_repeats, line_dedup
 from loomgraph.llm.secret_scan import scan, secret_scan
 from loomgraph.llm.sentencepiece_codec import encode_decode, sentencepiece_codec
-from loomgraph.llm.simhash_dedup import fingerprint, fuzzy_keys, links, near_codewords, simhash_dedup
+from loomgraph.llm.simhash_dedup import codewords, fingerprint, fuzzy_keys, links, near_codewords, simhash_dedup
 from loomgraph.llm.source_mix import source_mix
 from loomgraph.llm.token_counts import Counter, token_counts
 from loomgraph.llm.toxicity import cleaned, train
@@ -227,11 +227,14 @@ def test_golay_keys():
     flips = (1 << rng.integers(0, 23, 500)) | (1 << rng.integers(0, 23, 500))
     for a, b in zip(near_codewords(words), near_codewords(words ^ flips)):
         assert set(a[a >= 0]) & set(b[b >= 0])
-    fps = rng.integers(-(2**63), 2**63 - 1, 300)
+    one = words ^ (1 << rng.integers(0, 23, 500))
+    for a, b, x, y in zip(near_codewords(words), near_codewords(one), codewords(words), codewords(one)):
+        assert {v for v in a if 0 <= v <= x} & {v for v in b if 0 <= v <= y}
+    fps = rng.integers(-(2**63), 2**63 - 1, 3000)
     other = fps.copy()
     for _ in range(3):
-        other = (other.view(np.uint64) ^ (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64))).view(np.int64)
-    keys = [[set(k[r == i]) for i in range(300)] for r, k in (fuzzy_keys(fps), fuzzy_keys(other))]
+        other = (other.view(np.uint64) ^ (np.uint64(1) << rng.integers(0, 64, 3000).astype(np.uint64))).view(np.int64)
+    keys = [[set(k[r == i]) for i in range(3000)] for r, k in (fuzzy_keys(fps), fuzzy_keys(other))]
     assert all(a & b for a, b in zip(*keys))
 
 
@@ -290,8 +293,10 @@ def test_training_leaves_out_a_fifth(spark):
 
 
 @pytest.mark.parametrize("group", [64, 3])
-def test_near_copies_brute(spark, group):
+def test_near_copies_brute(spark, monkeypatch, group):
     import corpus_pipeline as c
+    from fractions import Fraction
+
     from loomgraph.llm import shingle_dedup as sd
 
     rng = random.Random(8)
@@ -310,10 +315,11 @@ def test_near_copies_brute(spark, group):
     while not ((low := np.where(near, label[None, :], len(grams)).min(1)) == label).all():
         label = low
     d = docs(spark, [(i, " ".join(x)) for i, x in enumerate(texts)])
-    got = {r["doc_id"]: r["component_id"] for r in sd.shingle_dedup(d, group=group).collect()}
+    monkeypatch.setattr(sd.same_or_near, "__kwdefaults__", {"group": group})
+    got = {r["doc_id"]: r["component_id"] for r in simhash_dedup(d, shingle=5, least=Fraction(4, 5)).collect()}
     assert got == dict(enumerate(label.tolist())) and 30 < len(set(label)) < 140
     assert {r["doc_id"] for r in c.drop_near_copies(spark, d, "").collect()} == set(label.tolist())
-    assert sd.shingle_dedup(d.limit(0)).count() == 0
+    assert simhash_dedup(d.limit(0), least=Fraction(4, 5)).count() == 0
 
 
 def test_pipeline_repeated_and_null_ids(spark):
