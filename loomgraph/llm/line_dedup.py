@@ -17,11 +17,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.llm.thinning import thinned
 from loomgraph.plans.shared import written
 
 WHITE = "' \\t\\r\\u000b\\u000c'"
-#: The bitmap that thins out documents before the candidates' texts are fetched: 2^23 bits, 1 MB, at any input.
-BITMAP_BITS = 23
 
 
 def _half(n: str) -> str:
@@ -31,15 +30,6 @@ def _half(n: str) -> str:
     return f"shiftleft(shiftright({half}, {drop}), {drop})"
 
 
-def thinned(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """Rows of ``df`` whose ``key`` (a hash) may be in ``wanted``: none that is there gets lost, some others stay. The bitmap has a fixed size, so it is broadcast."""
-    at = f"pmod({key}, {2**BITMAP_BITS})"
-    bits = wanted.selectExpr(f"{at} AS _at").groupBy(F.expr("bitmap_bucket_number(_at)").alias("_bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(_at))").alias("_bits"))
-    held = df.withColumn("_at", F.expr(at)).withColumn("_bucket_of", F.expr("bitmap_bucket_number(_at)"))
-    there = "getbit(cast(conv(hex(substring(_bits, cast(shiftright(bitmap_bit_position(_at), 3) AS int) + 1, 1)), 16, 10) AS bigint), cast(bitmap_bit_position(_at) % 8 AS int)) = 1"
-    return held.join(F.broadcast(bits), F.col("_bucket_of") == F.col("_bucket")).where(there).drop("_at", "_bucket", "_bucket_of", "_bits")
-
-
 def find_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_fuzzy_chars: int = 20, block_chars: int = 256) -> DataFrame:
     """The lines to take out: ``(_id, _h, drops)``, drops being positions from 0.
 
@@ -70,7 +60,7 @@ def find_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     spots = wanted.selectExpr("first._id AS _id", "first._h AS _h", "first.pos AS pos", "h1", "h2", "first", "halves")
     spots = spots.groupBy("_id", "_h").agg(F.collect_list(F.struct("pos", "h1", "h2", "first", "halves")).alias("spots")).alias("w")
     # Rows that agree in id and text would each bring the line.
-    holders = thinned(base, "_h", wanted.selectExpr("first._h AS _h")).dropDuplicates(["_id", "_h"]).alias("b")
+    holders = thinned(base, "_h", wanted.selectExpr("first._h AS _h"), wanted.count()).dropDuplicates(["_id", "_h"]).alias("b")
     held = holders.join(spots, F.expr("b._id <=> w._id AND b._h = w._h")).selectExpr("split(_text, '\\n') AS ls", "explode(spots) AS w")
     texts, texts_path = written(held.selectExpr("w.h1", "w.h2", "w.first", "w.halves", f"btrim(ls[w.pos], {WHITE}) AS s"))
     variants = _variants(texts, block_chars)

@@ -239,7 +239,7 @@ def near_copies(docs: DataFrame, *, id_col: str, text_col: str, shingle: int, mo
     across = found.join(heads.selectExpr("fp AS a", "head AS _a"), "a").join(heads.selectExpr("fp AS b", "head AS _b"), "b").selectExpr("_a AS a", "_b AS b")
     within = own.select("sig", "fp").join(heads.where("sets > 1"), "fp").where("sig != head").selectExpr("head AS a", "sig AS b")
     first, _ = written(across.unionByName(within))
-    labels = same_or_near(docs, own.select("sig", "n", "pre"), first, text_col=text_col, shingle=shingle, least=least, seed=SEED)
+    labels = same_or_near(docs, own.select("sig", "least", "n", "pre"), first, id_col=id_col, text_col=text_col, shingle=shingle, least=least, seed=SEED)
     joined, _ = written(own.join(labels, F.col("sig") == F.col("vertex"), "left").select("sig", "least", F.coalesce("label", "sig").alias("root")))
     roots = joined.groupBy("root").agg(F.min("least").alias("_component"))
     named = joined.join(roots, "root").select(F.col("sig").alias("_sig"), "_component")
