@@ -10,7 +10,8 @@ Where a member is in the prefixes of many sets, these sets are ordered again by
 rare their members are among them. What is crowded even then is mostly one large
 group of near copies: its sets are compared with one of them first, and then those
 that are still in different components with each other. Sets that are known to be
-in one component aren't compared at all. Every pair found is checked exactly.
+in one component aren't compared at all: before pairs are made, each member's first set is compared
+with its others, and what that links counts as one. Every pair found is checked exactly.
 """
 
 from __future__ import annotations
@@ -118,10 +119,8 @@ def same_or_near(docs: DataFrame, own: DataFrame, first: DataFrame, *, id_col: s
                 sets = [np.unique(hashed(t.as_py(), shingle, seed)) for t in b.column(0).slice(at, 512)]
                 yield pa.RecordBatch.from_arrays([pa.array([_signature(s, seed) for s in sets], pa.int64()), _lists(sets)], names=["sig", "hashes"])
 
-    def paired(keys: DataFrame, crowded: DataFrame | None = None) -> DataFrame:
-        """``(a, b)``: sets of different components that share as many of their prefixes' keys (sig, n, key, c) as the similarity asks for; ``crowded`` (sig, more) says how many further ones a set has."""
-        on = F.expr(f"x.key = y.key AND x.sig < y.sig AND x.c != y.c AND x.n * {p} <= y.n * {q} AND y.n * {p} <= x.n * {q}")
-        met = keys.alias("x").join(keys.alias("y"), on).selectExpr("x.sig AS a", "y.sig AS b", "x.n AS na", "y.n AS nb")
+    def enough(met: DataFrame, crowded: DataFrame | None = None) -> DataFrame:
+        """``(a, b)`` of the pairs met (a, b, na, nb), a row for each key of both prefixes, that share as many as the similarity asks for; ``crowded`` (sig, more) says how many further ones a set has."""
         met = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"), F.lit(0).alias("ma"), F.lit(0).alias("mb"))
         if crowded is not None:
             for x in "ab":
@@ -130,10 +129,15 @@ def same_or_near(docs: DataFrame, own: DataFrame, first: DataFrame, *, id_col: s
         rest = f"(greatest(na, nb) * {p} + {q - 1}) div {q} - 1"
         return met.where(f"shared + least(coalesce(ma, 0), coalesce(mb, 0)) >= ((na + nb) * {p} + {p + q - 1}) div {p + q} - ({rest})").select("a", "b")
 
-    def crossed(keys: DataFrame) -> DataFrame:
-        """``(a, b)``: sets of different components that share a key."""
+    def paired(keys: DataFrame) -> DataFrame:
+        """Pairs of different components that share a key (sig, n, key, c), a row for each key."""
         on = F.expr(f"x.key = y.key AND x.sig < y.sig AND x.c != y.c AND x.n * {p} <= y.n * {q} AND y.n * {p} <= x.n * {q}")
-        return keys.alias("x").join(keys.alias("y"), on).selectExpr("x.sig AS a", "y.sig AS b").distinct()
+        return keys.alias("x").join(keys.alias("y"), on).selectExpr("x.sig AS a", "y.sig AS b", "x.n AS na", "y.n AS nb")
+
+    def starred(keys: DataFrame) -> DataFrame:
+        """The same of each key's first set with its others only."""
+        fits = f"head.n * {p} <= n * {q} AND n * {p} <= head.n * {q}"
+        return keys.where(f"head.sig != sig AND {fits}").selectExpr("head.sig AS a", "sig AS b", "head.n AS na", "n AS nb")
 
     def sets_of(wanted: DataFrame) -> tuple[DataFrame, str]:
         """``(sig, hashes)`` of the sets named, from the texts of a row each."""
@@ -150,9 +154,9 @@ def same_or_near(docs: DataFrame, own: DataFrame, first: DataFrame, *, id_col: s
         return written(pairs.join(a, "a").join(b, "b").where(f"size(array_intersect(_a, _b)) * {p + q} >= {p} * (size(_a) + size(_b))").select("a", "b"))[0]
 
     def apart(keys: DataFrame) -> DataFrame:
-        """Keys (sig, n, key, c) that sets of different components share, with ``df``, the number of their sets."""
+        """Keys (sig, n, key, c) that sets of different components share, with ``df``, the number of their sets, and the first of these, ``head``."""
         by_key = Window.partitionBy("key")
-        both = keys.withColumns({"df": F.count("*").over(by_key), "_low": F.min("c").over(by_key), "_high": F.max("c").over(by_key)})
+        both = keys.select("sig", "n", "key", "c").withColumns({"df": F.count("*").over(by_key), "head": F.min(F.struct("sig", "n")).over(by_key), "_low": F.min("c").over(by_key), "_high": F.max("c").over(by_key)})
         return both.where("_low != _high").drop("_low", "_high")
 
     def labelled(sets: DataFrame, labels: DataFrame) -> DataFrame:
@@ -160,14 +164,16 @@ def same_or_near(docs: DataFrame, own: DataFrame, first: DataFrame, *, id_col: s
         return sets.join(labels, F.col("sig") == F.col("vertex"), "left").withColumn("c", F.coalesce("label", "sig")).drop("vertex", "label")
 
     spark, held = docs.sparkSession, []
-    likely, path = sets_of(ends(first))
+    met, path = written(apart(own.selectExpr("sig", "n", "sig AS c", "explode(pre) AS key")))
+    first, _ = written(first.unionByName(enough(starred(met))).distinct())
+    likely, likely_path = sets_of(ends(first))
     links = checked(first, likely)
-    forget(spark, path)
+    forget(spark, likely_path)
     labels, _ = written(connected_labels(links, "a", "b"))
-    shared, path = written(apart(labelled(own, labels).select("sig", "n", "c", F.explode("pre").alias("key"))))
-    held.append(path)
+    shared, shared_path = written(apart(labelled(met.drop("c"), labels)))
+    held += [path, shared_path]
     crowd, _ = written(shared.where(f"df > {group}").groupBy("sig").agg(F.count("*").alias("more")))
-    pairs, _ = written(paired(shared.where(f"df <= {group}"), crowd))
+    pairs, _ = written(enough(paired(shared.where(f"df <= {group}")), crowd))
     sets, path = sets_of(ends(pairs).unionByName(crowd.select("sig")).distinct())
     held.append(path)
     big = None
@@ -176,20 +182,18 @@ def same_or_near(docs: DataFrame, own: DataFrame, first: DataFrame, *, id_col: s
         again = sets.join(known, "sig").select("sig", "n", "c", F.explode("hashes").alias("key")).withColumn("df", F.count("*").over(Window.partitionBy("key")))
         own_keys = Window.partitionBy("sig")  # the members that no other set has come first, and needn't be ranked
         again = again.where("df > 1").withColumn("_i", F.col("n") - F.count("*").over(own_keys) + F.row_number().over(own_keys.orderBy("df", "key"))).where(f"_i <= n - (n * {p} + {q - 1}) div {q} + 1")
-        again, path = written(apart(again.select("sig", "n", "key", "c")))
+        again, path = written(apart(again))
         held.append(path)
         big = again.where(f"df > {group}")
-        hubs = big.groupBy("key").agg(F.min("sig").alias("a"))
-        star = big.join(hubs, "key").where("sig != a").select("a", F.col("sig").alias("b"))
-        small = paired(again.where(f"df <= {group}"), big.groupBy("sig").agg(F.count("*").alias("more")))
-        pairs = pairs.unionByName(small).unionByName(star).distinct()
+        small = enough(paired(again.where(f"df <= {group}")), big.groupBy("sig").agg(F.count("*").alias("more")))
+        pairs = pairs.unionByName(small).unionByName(starred(big).select("a", "b")).distinct()
     links = links.unionByName(checked(pairs, sets))
     labels = connected_labels(links, "a", "b")
     if big is not None and not big.isEmpty():
         labels, _ = written(labels)
-        cross, path = written(apart(labelled(big.select("sig", "n", "key"), labels)))
+        cross, path = written(apart(labelled(big.drop("c"), labels)))
         held.append(path)
-        labels = connected_labels(links.unionByName(checked(crossed(cross), sets)), "a", "b")
+        labels = connected_labels(links.unionByName(checked(paired(cross).select("a", "b").distinct(), sets)), "a", "b")
     labels, _ = written(labels)
     for path in held:
         forget(spark, path)
