@@ -69,7 +69,8 @@ def find_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     own = texts.select("h1", "h2", "s")
     other = texts.selectExpr("first AS earliest", "s AS t")
     near = links.join(own, ["h1", "h2"]).join(other, "earliest").where("levenshtein(s, t, 1) BETWEEN 0 AND 1").select("h1", "h2").distinct().withColumn("near", F.lit(True))
-    classes = distinct.select("h1", "h2", "first", "copies").join(near, ["h1", "h2"], "left").where("copies > 1 OR near")
+    # Written, so that the join below stands between two exchanges, where adaptive execution splits the places of a common line.
+    classes, _ = written(distinct.select("h1", "h2", "first", "copies").join(near, ["h1", "h2"], "left").where("copies > 1 OR near"))
     gone = lines.selectExpr("_id", "_h", "pos", *hashes).join(classes, ["h1", "h2"]).where("near OR struct(_id, _h, pos) != first")
     return gone.groupBy("_id", "_h").agg(F.collect_set("pos").alias("drops"))
 
