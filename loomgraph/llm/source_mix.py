@@ -5,8 +5,9 @@ quotients target/(2k + 1), and a source's blocks to its shards by the highest
 quotients size/(2k + 1): integer quotas per shard. A shard lines its documents up
 in a seeded order and takes its first blocks; past its end it starts again, so
 nothing is taken more than twice while targets stay within twice the size. Shards
-get no more whole blocks than they have words for; what then lacks is handed out as
-parts of blocks, so a source falls short only where all its words are taken twice.
+get no more whole blocks than they have words for. What a source's blocks lack of its
+target in whole words is handed out as parts of blocks, what they exceed it by is
+taken off last blocks, so a source meets its target but for the part of a word.
 """
 
 from __future__ import annotations
@@ -64,12 +65,14 @@ def source_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     """``(id, size, source_size, target, taken)`` of every row; with ``key_col`` that column too, which breaks the ties left in the order.
 
     Null and empty texts have size 0 and take part with 0. A null source is a
-    source of its own, last in order. Rows that repeat count each. Equal places in
-    the seeded order (repeated ids) are broken by size.
+    source of its own, last in order. Rows that repeat count each. The seeded order
+    is that of a hash of id and text, so null or repeated ids don't gather in a
+    shard; rows equal in both are alike, and their size breaks the tie. Texts of any
+    length are counted whole, in the scan. Other columns are left out, whatever their names.
     """
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint")
-    mark = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    base, _ = written(docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), size.alias("size"), mark.alias("_mark"), *([F.col(key_col).alias("_key")] if key_col else [])))
+    size = F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD)), F.lit(0)).cast("bigint")
+    mark = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), F.xxhash64(f"`{text_col}`").cast("string")))
+    base, _ = written(docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{source_col}`").alias("source"), size.alias("size"), mark.alias("_mark"), *([F.col(f"`{key_col}`").alias("_key")] if key_col else [])))
     dealt = base.groupBy("source").agg(F.expr(f"least({MOST_SHARDS}L, greatest(1L, count(*) div {SHARD_DOCS}))").alias("_shards")).withColumnRenamed("source", "_source")
     base = base.join(dealt, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     base = base.withColumn("_shard", F.expr("cast(conv(substring(_mark, 1, 8), 16, 10) AS bigint) % _shards")).drop("_shards")
@@ -81,8 +84,10 @@ def source_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     held = held.withColumn("_bound", F.expr(f"2 * _shard_size div {block_words}"))
     given = sainte_lague(held, "_shard_size", "_blocks", ["source"], ["_shard"], "_quota", "_bound").withColumn("_free", F.expr(f"2 * _shard_size - _quota * {block_words}"))
     own = Window.partitionBy("source")
-    given = given.withColumn("_lack", (F.col("_blocks") - F.sum("_quota").over(own)) * block_words).withColumn("_before", F.sum("_free").over(own.orderBy("_shard").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_free"))
-    take = F.expr(f"_quota * {block_words} + least(greatest(_lack - _before, 0L), _free)")
+    given = given.withColumn("_given", F.col("_quota") * block_words).withColumn("_lack", F.round("target").cast("bigint") - F.sum("_given").over(own))
+    line = own.orderBy("_shard").rowsBetween(Window.unboundedPreceding, 0)
+    given = given.withColumns({"_before": F.sum("_free").over(line) - F.col("_free"), "_earlier": F.sum("_given").over(line) - F.col("_given")})
+    take = F.expr("_given + least(greatest(_lack - _before, 0L), _free) - least(greatest(-_lack - _earlier, 0L), _given)")
     quotas = given.select(F.col("source").alias("_source"), F.col("_shard").alias("_s"), "source_size", "target", "_shard_size", take.alias("_take"))
     line = Window.partitionBy("source", "_shard").orderBy("_mark", "_id", "size", *(["_key"] if key_col else [])).rowsBetween(Window.unboundedPreceding, 0)
     placed = base.withColumn("_start", F.sum("size").over(line) - F.col("size"))
