@@ -8,20 +8,22 @@ the smooth maximum of its windows. Unseen spellings share n-gram vectors.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm.row_types import with_id
 
 BUCKET_BITS, GRAMS, WINDOW, SMOOTH = 18, (3, 4, 5), 12, 4.0
-#: Labelled documents that training sees at most, of class 0 and of class 1, by the order of a hash of the id: a bounded sample.
-TRAIN_DOCS = (1600, 800)
-#: Bytes of text held in arrays at once.
+#: Labelled documents that training sees at most, of class 0 and of class 1, by the order of a hash of the id, one text an id, and the bytes of their texts at most: a bounded sample.
+TRAIN_DOCS, TRAIN_BYTES = (1600, 800), (1 << 24, 1 << 23)
+#: Bytes of text held in arrays at once; longer texts are scored a part at a time.
 BATCH_BYTES = 1 << 20
 #: ASCII letters and digits stay, other ASCII becomes a space; bytes of other characters stay.
 KEPT = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -151,11 +153,47 @@ class Model:
     bucket: np.ndarray
     bias: float
 
-    def scores(self, texts: list[bytes]) -> np.ndarray:
+    def pooled(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Each text's smooth maximum, and how many windows it is of."""
         b = bags(texts)
         word = _mean(self.bucket[b.bucket], b.word, b.n_words)
         logit = _mean(word[b.window_words], b.window, b.n_windows) + self.bias
-        return 1 / (1 + np.exp(-np.clip(_pooled(logit, b)[0], -500, 500)))
+        return _pooled(logit, b)[0], np.bincount(b.window_text, minlength=b.n_texts)
+
+    def scores(self, texts: list[bytes]) -> np.ndarray:
+        return _probability(self.pooled(texts)[0])
+
+    def long_score(self, text: bytes) -> float:
+        """The score of a text of any length, its windows taken some at a time."""
+        words, tops, sizes = (m[0] for m in re.finditer(rb"[^ ]+", text)), [], []
+        part, ahead = _take(words), None
+        while part:
+            ahead = _take(words)
+            if ahead and len(ahead) < WINDOW:  # the last window reaches back over a whole one
+                part, ahead = part + ahead, []
+            top, n = self.pooled([b" ".join(part)])
+            tops.append(top[0])
+            sizes.append(n[0])
+            part = ahead
+        if not tops:
+            return float(self.scores([b""])[0])
+        tops, sizes = np.array(tops), np.array(sizes)
+        high = tops.max()
+        return float(_probability(high + np.log((sizes * np.exp(SMOOTH * (tops - high))).sum() / sizes.sum()) / SMOOTH))
+
+
+def _probability(logit: np.ndarray | float) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
+
+
+def _take(words: Iterator[bytes]) -> list[bytes]:
+    """The next words: a multiple of the window in number, unless they end."""
+    part: list[bytes] = []
+    size = 0
+    while size < BATCH_BYTES and (some := list(islice(words, WINDOW))):
+        part += some
+        size += sum(map(len, some))
+    return part
 
 
 def train(texts: list[bytes], labels: np.ndarray, *, size: int = 8, rounds: int = 70, rate: float = 3.0, decay: float = 1e-6, seed: int = 42) -> Model:
@@ -196,21 +234,34 @@ def train(texts: list[bytes], labels: np.ndarray, *, size: int = 8, rounds: int
     return Model(bucket, float(offset[1] - offset[0]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: tuple[int, int] = TRAIN_DOCS) -> Model:
-    """A model from labelled documents whose crc32(id as text) mod 5 isn't 0; ``most`` of each class. Null labels and ids are left out."""
-    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_id IS NOT NULL AND _y IN (0, 1) AND crc32(cast(_id AS string)) % 5 != 0")
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: tuple[int, int] = TRAIN_DOCS, most_bytes: tuple[int, int] = TRAIN_BYTES) -> Model:
+    """A model from labelled documents whose crc32(id as text) mod 5 isn't 0; ``most`` of each class.
+
+    Null labels and ids are left out; an id labelled both ways counts as 1. Of
+    several texts of an id the smallest is taken, so repeated rows change nothing.
+    The texts of a class are taken by the order of a hash of the id as long as they
+    fit ``most_bytes`` together; one that doesn't is passed over.
+    """
+    known = labels.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{label_col}`").cast("int").alias("_y")).where("_id IS NOT NULL AND _y IN (0, 1) AND crc32(cast(_id AS string)) % 5 != 0")
     known = known.groupBy("_id").agg(F.max("_y").alias("_y"))
     some = [known.where(f"_y = {y}").orderBy(F.xxhash64("_id"), "_id").limit(most[y]) for y in (0, 1)]
     chosen = some[0].unionByName(some[1])  # of a bounded number of rows: small enough to broadcast
-    rows = docs.select(F.col(id_col).alias("_d"), F.col(text_col).alias("_t")).join(F.broadcast(chosen), F.col("_d") == F.col("_id")).select("_d", "_y", "_t").collect()
-    rows = sorted(rows, key=lambda r: (r[0], r[1], r[2] or ""))
-    texts, marks = [cleaned(r[2]) for r in rows], np.array([r[1] for r in rows])
-    del rows
-    return train(texts, marks)
+    texts = docs.select(F.col(f"`{id_col}`").alias("_d"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_t"))
+    texts = texts.where(F.octet_length("_t") <= max(most_bytes)).join(F.broadcast(chosen), F.col("_d") == F.col("_id")).groupBy("_d", "_y").agg(F.min("_t").alias("_t"))
+    order = Window.partitionBy("_y").orderBy(F.xxhash64("_d"), "_d").rowsBetween(Window.unboundedPreceding, 0)  # as many rows as were chosen
+    rows = texts.withColumn("_sum", F.sum(F.octet_length("_t")).over(order)).where(F.expr(f"_sum <= CASE WHEN _y = 0 THEN {most_bytes[0]}L ELSE {most_bytes[1]}L END")).select("_d", "_y", "_t").collect()
+    rows.sort(key=lambda r: (str(r[0]), r[1]))
+    marks = np.array([r[1] for r in rows])
+    return train([cleaned(r[2]) for r in rows], marks)
 
 
 def toxicity(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, held_out, score, predicted)`` of every row, by its whole text. Null and empty texts get the score of a window without words."""
+    """``(id, held_out, score, predicted)`` of every row, by its whole text.
+
+    Null and empty texts get the score of a window without words. Rows that repeat
+    get the same score each; a null id is never held out. Of a long text some windows
+    are held at a time. Other columns are left out.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((model.bucket.astype(np.float32), model.bias))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,11 +271,18 @@ def toxicity(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
             out: list[np.ndarray] = []
             part, size = [], 0
             for i in range(b.num_rows):
-                part.append(cleaned(texts[i].as_py()))
-                size += len(part[-1])
-                if size >= BATCH_BYTES or i + 1 == b.num_rows:
+                text = cleaned(texts[i].as_py())
+                alone = len(text) > BATCH_BYTES
+                if part and (alone or size >= BATCH_BYTES):
                     out.append(own.scores(part))
                     part, size = [], 0
+                if alone:
+                    out.append(np.array([own.long_score(text)]))
+                else:
+                    part.append(text)
+                    size += len(text)
+            if part:
+                out.append(own.scores(part))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(out) if out else np.zeros(0))], names=[id_col, "score"])
 
     scored = docs.select(f"`{id_col}`", f"`{text_col}`").mapInArrow(score, with_id(docs, id_col, "score double"))

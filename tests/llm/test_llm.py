@@ -162,6 +162,44 @@ def test_toxicity_held_out():
     assert 0 <= model.scores([b""])[0] <= 1 and 0 <= train([], np.array([])).scores([b""])[0] < 0.5
 
 
+def test_toxicity_long_text(monkeypatch):
+    from loomgraph.llm import toxicity as tx
+
+    rng = random.Random(14)
+    model = tx.Model(np.random.default_rng(1).normal(0, 3, 1 << tx.BUCKET_BITS), -1.0)
+    for n in (0, 1, 11, 12, 13, 119, 120, 121, 125, 500):
+        text = cleaned(" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 9))) for _ in range(n)))
+        whole = model.scores([text])[0]
+        for part in (1, 60, 200):
+            monkeypatch.setattr(tx, "BATCH_BYTES", part)
+            assert abs(model.long_score(text) - whole) < 1e-9, (n, part)
+
+
+def test_toxicity_on_labels(spark):
+    """Held-out labels of the supplied documents."""
+    from loomgraph.llm.toxicity import fit, toxicity
+
+    d, y = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = toxicity(d, fit(d, y)).join(y, "doc_id").where("held_out AND toxic IS NOT NULL").select("score", "toxic").toPandas()
+    good, bad = got.score[got.toxic == 1].to_numpy(), got.score[got.toxic == 0].to_numpy()
+    assert len(good) > 3 and (good[:, None] > bad[None, :]).mean() > 0.9
+
+
+def test_training_rows_are_bounded(spark):
+    from loomgraph.llm import toxicity as tx
+
+    seen = []
+    rows = [(i % 8, f"text {i % 3}") for i in range(3000)] + [(100, "x" * 5000)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8)] + [(100, 1)], "doc_id bigint, toxic int")
+    old, tx.train = tx.train, lambda texts, marks: seen.append((texts, marks.tolist()))
+    try:
+        tx.fit(docs(spark, rows), labels, most_bytes=(1000, 1000))
+    finally:
+        tx.train = old
+    kept = [i for i in range(8) if zlib.crc32(str(i).encode()) % 5]
+    assert seen[0] == ([b"text 0"] * len(kept), [i % 2 for i in kept])
+
+
 def test_warc(spark):
     html = [None, "", "x" * 5000, "x" * 5000, "y" * 99, "y" * 99, "\r\n\r\nWARC/1.1\r\n" * 30, "é" * 50]
     pages = spark.createDataFrame([(i, f"u {i}", h) for i, h in enumerate(html)], "page_id bigint, url string, html string")
