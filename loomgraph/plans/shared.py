@@ -6,6 +6,7 @@ where the session has none (tests on one machine) is a folder of our own set.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -17,17 +18,13 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
     spark.sparkContext.setCheckpointDir(own)
     return own
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` reliably: the result survives the loss of any executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame) -> tuple[DataFrame, str]:
     """Write ``df`` as Parquet in the shared folder; the table read back, and its path."""
     spark = df.sparkSession
@@ -41,3 +38,9 @@ def forget(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of plans that nothing refers to any more, such as those behind written tables; else they stay until the driver's heap fills."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
