@@ -22,18 +22,18 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from loomgraph.llm.thinning import thinned
 from loomgraph.plans.components import connected_labels
-from loomgraph.plans.shared import forget, written
+from loomgraph.plans.shared import forget, release, written
 
 #: Sets that share a key and are all paired at once; the limit sets the order of the work, not what is found.
 GROUP = 64
-#: Texts that common shingles are told from, and how many of these are kept; both move work only.
-SAMPLE_DOCS, COMMON = 2000, 1 << 16
+#: Texts that common shingles are told from, their bytes at most, and how many shingles are kept; all move work only.
+SAMPLE_DOCS, SAMPLE_BYTES, COMMON = 1 << 13, 1 << 15, 1 << 17
 
 
 def hashed(text: str | None, shingle: int, seed: int) -> np.ndarray:
@@ -66,15 +66,20 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(flat))
 
 
+def spark_slots(spark: SparkSession) -> int:
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def common_shingles(docs: DataFrame, *, text_col: str, shingle: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, sorted, of what several of ``SAMPLE_DOCS`` texts (by the order of their hash) hold, ``COMMON`` of them at most, and how many texts do."""
+    """Hashes, sorted, of what several of ``SAMPLE_DOCS`` texts (not long ones, by the order of their hash) hold, ``COMMON`` of them at most, and how many texts do."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for t in b.column(0):
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(hashed(t.as_py(), shingle, seed)).view(np.int64))], names=["key"])
 
-    some = docs.select(F.col(f"`{text_col}`").alias("_t")).where("_t IS NOT NULL").orderBy(F.xxhash64("_t")).limit(SAMPLE_DOCS)
+    some = docs.select(F.col(f"`{text_col}`").alias("_t")).where(F.octet_length("_t") <= SAMPLE_BYTES).orderBy(F.xxhash64("_t")).limit(SAMPLE_DOCS)
+    some = some.repartition(spark_slots(docs.sparkSession))  # a limit's rows stand in one partition
     found = some.mapInArrow(mark, "key bigint").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "key").limit(COMMON).toArrow()
     keys, n = (found.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("key", "n"))
     order = np.argsort(keys.view(np.uint64))
@@ -105,10 +110,10 @@ def shingle_marks(docs: DataFrame, *, id_col: str, text_col: str, shingle: int,
     return docs.select(f"`{id_col}`", f"`{text_col}`").mapInArrow(mark, own)
 
 
-def same_or_near(docs: DataFrame, own: DataFrame, first: DataFrame, *, id_col: str, text_col: str, shingle: int, least: Fraction, seed: int, group: int = GROUP) -> DataFrame:
-    """``(vertex, label)``: components of the sets ``own`` (sig, least, n, pre; least is the id of a row that has it) of similarity ``least`` or more.
+def same_or_near(docs: DataFrame, marked: DataFrame, own: DataFrame, first: DataFrame, *, id_col: str, text_col: str, shingle: int, least: Fraction, seed: int, group: int = GROUP) -> DataFrame:
+    """``(vertex, label)``: components of the sets ``own`` (sig, least, n; least is the id of a row that has it) of similarity ``least`` or more.
 
-    ``first`` has pairs (a, b) that are likely to be linked; they are checked
+    ``marked`` are the rows that :func:`shingle_marks` gives. ``first`` has pairs (a, b) that are likely to be linked; they are checked
     before all else, so that what they connect needn't be compared again.
     """
     p, q = least.numerator, least.denominator
@@ -164,7 +169,9 @@ def same_or_near(docs: DataFrame, own: DataFrame, first: DataFrame, *, id_col: s
         return sets.join(labels, F.col("sig") == F.col("vertex"), "left").withColumn("c", F.coalesce("label", "sig")).drop("vertex", "label")
 
     spark, held = docs.sparkSession, []
-    met, path = written(apart(own.selectExpr("sig", "n", "sig AS c", "explode(pre) AS key")))
+    prefixes = marked.groupBy("sig").agg(F.first("n").alias("n"), F.first("pre").alias("pre")).where("sig IS NOT NULL")
+    met, path = written(apart(prefixes.selectExpr("sig", "n", "sig AS c", "explode(pre) AS key")))
+    release(spark)
     first, _ = written(first.unionByName(enough(starred(met))).distinct())
     likely, likely_path = sets_of(ends(first))
     links = checked(first, likely)
@@ -172,10 +179,12 @@ def same_or_near(docs: DataFrame, own: DataFrame, first: DataFrame, *, id_col: s
     labels, _ = written(connected_labels(links, "a", "b"))
     shared, shared_path = written(apart(labelled(met.drop("c"), labels)))
     held += [path, shared_path]
+    release(spark)
     crowd, _ = written(shared.where(f"df > {group}").groupBy("sig").agg(F.count("*").alias("more")))
     pairs, _ = written(enough(paired(shared.where(f"df <= {group}")), crowd))
     sets, path = sets_of(ends(pairs).unionByName(crowd.select("sig")).distinct())
     held.append(path)
+    release(spark)
     big = None
     if not crowd.isEmpty():
         known = labelled(own.select("sig", "n").join(crowd, "sig", "left_semi"), labels)
@@ -184,6 +193,7 @@ def same_or_near(docs: DataFrame, own: DataFrame, first: DataFrame, *, id_col: s
         again = again.where("df > 1").withColumn("_i", F.col("n") - F.count("*").over(own_keys) + F.row_number().over(own_keys.orderBy("df", "key"))).where(f"_i <= n - (n * {p} + {q - 1}) div {q} + 1")
         again, path = written(apart(again))
         held.append(path)
+        release(spark)
         big = again.where(f"df > {group}")
         small = enough(paired(again.where(f"df <= {group}")), big.groupBy("sig").agg(F.count("*").alias("more")))
         pairs = pairs.unionByName(small).unionByName(starred(big).select("a", "b")).distinct()

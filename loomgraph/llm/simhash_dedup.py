@@ -232,14 +232,14 @@ def simhash_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 def near_copies(docs: DataFrame, *, id_col: str, text_col: str, shingle: int, most: int, group: int, least: Fraction) -> DataFrame:
     """:func:`simhash_dedup` with ``least``: fingerprint links, checked, then prefix filters between what they leave apart."""
     marked, _ = written(shingle_marks(docs, id_col=id_col, text_col=text_col, shingle=shingle, least=least, seed=SEED))
-    own, _ = written(marked.where("sig IS NOT NULL").groupBy("sig").agg(F.min("_id").alias("least"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("pre").alias("pre")))
+    own, _ = written(marked.where("sig IS NOT NULL").groupBy("sig").agg(F.min("_id").alias("least"), F.first("fp").alias("fp"), F.first("n").alias("n")))
     # A fingerprint's smallest set stands for it: the others link with that one, linked fingerprints through theirs.
     heads, _ = written(own.groupBy("fp").agg(F.min("sig").alias("head"), F.count("*").alias("sets")))
     found = links(heads.select("fp"), most, group)
     across = found.join(heads.selectExpr("fp AS a", "head AS _a"), "a").join(heads.selectExpr("fp AS b", "head AS _b"), "b").selectExpr("_a AS a", "_b AS b")
     within = own.select("sig", "fp").join(heads.where("sets > 1"), "fp").where("sig != head").selectExpr("head AS a", "sig AS b")
     first, _ = written(across.unionByName(within))
-    labels = same_or_near(docs, own.select("sig", "least", "n", "pre"), first, id_col=id_col, text_col=text_col, shingle=shingle, least=least, seed=SEED)
+    labels = same_or_near(docs, marked, own.select("sig", "least", "n"), first, id_col=id_col, text_col=text_col, shingle=shingle, least=least, seed=SEED)
     joined, _ = written(own.join(labels, F.col("sig") == F.col("vertex"), "left").select("sig", "least", F.coalesce("label", "sig").alias("root")))
     roots = joined.groupBy("root").agg(F.min("least").alias("_component"))
     named = joined.join(roots, "root").select(F.col("sig").alias("_sig"), "_component")
