@@ -44,8 +44,8 @@ def with_keys(docs: DataFrame) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labelled ones, gives 0.5 or more go. Each row is judged by its own text, whatever its id; null and empty texts get the score of no words."""
     model = fit(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity(docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("_doc"), "text"), model, id_col="_doc")
-    return scored.where("predicted = 0").select("_doc.*")
+    scored = toxicity(packed(docs).select("_doc", "text"), model, id_col="_doc", with_text=True)
+    return scored.where("predicted = 0").select(*[F.col("text") if c == "text" else F.col(f"_doc.`{c}`") for c in docs.columns])
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ from loomgraph.llm.row_types import with_id
 #: Characters encoded in one call, which bounds a worker's memory.
 BATCH_CHARS = 1 << 21
 #: Words a worker remembers before it starts again, and their longest (speed and memory only, no result depends on them).
-WORDS_KEPT, LONG_WORD = 400_000, 64
+WORDS_KEPT, LONG_WORD = 200_000, 64
 #: Words encoded in a row.
 ROW_WORDS = 512
 
@@ -203,6 +203,7 @@ def sentencepiece_codec(docs: DataFrame, model_path: str, *, id_col: str = "doc_
                     cols += [pa.array([sha256(x.encode()).hexdigest() for x in numbers]), pa.array([sha256(x.encode()).hexdigest() for x in decoded])]
                 cols += [pa.array([d == t for d, t in zip(decoded, texts, strict=True)]), pa.array(same, pa.bool_())]
                 yield pa.RecordBatch.from_arrays(cols, names=[id_col, *names])
+        codec(model_path).words.clear()  # an idle worker holds no words
 
     own = "token_ids array<int>, decoded string" if ids else "ids_sha256 string, decoded_sha256 string"
     return base.mapInArrow(code, with_id(docs, id_col, f"n_tokens bigint, {own}, round_trip boolean, parity boolean"))

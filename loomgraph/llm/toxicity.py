@@ -255,8 +255,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     return train([cleaned(r[2]) for r in rows], marks)
 
 
-def toxicity(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, held_out, score, predicted)`` of every row, by its whole text.
+def toxicity(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+    """``(id, held_out, score, predicted)`` of every row, by its whole text, and with ``with_text`` that too.
 
     Null and empty texts get the score of a window without words. Rows that repeat
     get the same score each; a null id is never held out. Of a long text some windows
@@ -283,7 +283,8 @@ def toxicity(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
                     size += len(text)
             if part:
                 out.append(own.scores(part))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(out) if out else np.zeros(0))], names=[id_col, "score"])
+            score = pa.array(np.concatenate(out) if out else np.zeros(0))
+            yield pa.RecordBatch.from_arrays([b.column(0), score, *([texts] if with_text else [])], names=[id_col, "score", *([text_col] if with_text else [])])
 
-    scored = docs.select(f"`{id_col}`", f"`{text_col}`").mapInArrow(score, with_id(docs, id_col, "score double"))
-    return scored.select(f"`{id_col}`", F.expr(f"coalesce(crc32(cast(`{id_col}` AS string)) % 5 = 0, false)").alias("held_out"), "score", F.expr("cast(score >= 0.5 AS int)").alias("predicted"))
+    scored = docs.select(f"`{id_col}`", f"`{text_col}`").mapInArrow(score, with_id(docs, id_col, f"score double, `{text_col}` string" if with_text else "score double"))
+    return scored.select(f"`{id_col}`", *([f"`{text_col}`"] if with_text else []), F.expr(f"coalesce(crc32(cast(`{id_col}` AS string)) % 5 = 0, false)").alias("held_out"), "score", F.expr("cast(score >= 0.5 AS int)").alias("predicted"))
