@@ -134,9 +134,11 @@ def same_or_near(docs: DataFrame, marked: DataFrame, own: DataFrame, first: Data
         rest = f"(greatest(na, nb) * {p} + {q - 1}) div {q} - 1"
         return met.where(f"shared + least(coalesce(ma, 0), coalesce(mb, 0)) >= ((na + nb) * {p} + {p + q - 1}) div {p + q} - ({rest})").select("a", "b")
 
-    def paired(keys: DataFrame) -> DataFrame:
+    common = f"((x.n + y.n) * {p} + {p + q - 1}) div {p + q}"
+
+    def paired(keys: DataFrame, more: str = "true") -> DataFrame:
         """Pairs of different components that share a key (sig, n, key, c), a row for each key."""
-        on = F.expr(f"x.key = y.key AND x.sig < y.sig AND x.c != y.c AND x.n * {p} <= y.n * {q} AND y.n * {p} <= x.n * {q}")
+        on = F.expr(f"x.key = y.key AND x.sig < y.sig AND x.c != y.c AND x.n * {p} <= y.n * {q} AND y.n * {p} <= x.n * {q} AND {more}")
         return keys.alias("x").join(keys.alias("y"), on).selectExpr("x.sig AS a", "y.sig AS b", "x.n AS na", "y.n AS nb")
 
     def starred(keys: DataFrame) -> DataFrame:
@@ -161,7 +163,7 @@ def same_or_near(docs: DataFrame, marked: DataFrame, own: DataFrame, first: Data
     def apart(keys: DataFrame) -> DataFrame:
         """Keys (sig, n, key, c) that sets of different components share, with ``df``, the number of their sets, and the first of these, ``head``."""
         by_key = Window.partitionBy("key")
-        both = keys.select("sig", "n", "key", "c").withColumns({"df": F.count("*").over(by_key), "head": F.min(F.struct("sig", "n")).over(by_key), "_low": F.min("c").over(by_key), "_high": F.max("c").over(by_key)})
+        both = keys.select("sig", "n", "key", "c", *[x for x in keys.columns if x == "_i"]).withColumns({"df": F.count("*").over(by_key), "head": F.min(F.struct("sig", "n")).over(by_key), "_low": F.min("c").over(by_key), "_high": F.max("c").over(by_key)})
         return both.where("_low != _high").drop("_low", "_high")
 
     def labelled(sets: DataFrame, labels: DataFrame) -> DataFrame:
@@ -203,7 +205,9 @@ def same_or_near(docs: DataFrame, marked: DataFrame, own: DataFrame, first: Data
         labels, _ = written(labels)
         cross, path = written(apart(labelled(big.drop("c"), labels)))
         held.append(path)
-        labels = connected_labels(links.unionByName(checked(paired(cross).select("a", "b").distinct(), sets)), "a", "b")
+        # What meets here shares no other keys. At the first that two sets share, only what comes after it in both can be in common too.
+        near = paired(cross, f"{common} <= 1 + least(x.n - x._i, y.n - y._i)").select("a", "b").distinct()
+        labels = connected_labels(links.unionByName(checked(near, sets)), "a", "b")
     labels, _ = written(labels)
     for path in held:
         forget(spark, path)
