@@ -34,3 +34,29 @@ def common_neighbors(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """first, second, neighbor for every neighbour that both ends of a pair have."""
     e = edges.select("src", "dst").distinct()
     return pairs.join(e.select(F.col("src").alias("first"), F.col("dst").alias("neighbor")), "first").join(e.select(F.col("src").alias("second"), F.col("dst").alias("neighbor")), ["second", "neighbor"]).select("first", "second", "neighbor")
+
+
+def transform_edges(edges: DataFrame, values: DataFrame, out: Column, where: Column | None = None) -> DataFrame:
+    """src, dst and ``out`` (named) for each triplet, only those where ``where`` holds."""
+    t = triplets(edges, values)
+    return (t if where is None else t.where(where)).select("src", "dst", out)
+
+
+def reduce_edges(edges: DataFrame, values: DataFrame, agg: Column) -> DataFrame:
+    """One row: an aggregate over all triplets."""
+    return triplets(edges, values).agg(agg)
+
+
+def reduce_edges_by_key(edges: DataFrame, values: DataFrame, key: Column, agg: Column) -> DataFrame:
+    """key and an aggregate over the triplets of each key."""
+    return triplets(edges, values).groupBy(key.alias("key")).agg(agg)
+
+
+def aggregate_by_end_key(edges: DataFrame, keys: DataFrame, agg: Column) -> DataFrame:
+    """vertex, key and an aggregate over the vertex's edges to each key of their ends (keys: vertex, key)."""
+    return edges.join(keys.select(F.col("vertex").alias("dst"), "key"), "dst").groupBy(F.col("src").alias("vertex"), "key").agg(agg)
+
+
+def reduce_vertices(values: DataFrame, agg: Column, where: Column | None = None) -> DataFrame:
+    """One row: an aggregate (a count, a sum, an extreme) over vertices."""
+    return (values if where is None else values.where(where)).agg(agg)

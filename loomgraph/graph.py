@@ -20,7 +20,7 @@ class Graph:
 
     @classmethod
     def from_edgelist(cls, df: DataFrame, source: str = "src", destination: str = "dst", *, weight: str | None = None, edge_id: str | None = None, edge_type: str | None = None, start_time: str | None = None, end_time: str | None = None, directed: bool = False, multi: bool = False, drop_self_loops: bool = False, vertices: DataFrame | None = None) -> Graph:
-        """Copies the named columns, then drops self-loops if asked, merges parallel edges (the least of each attribute), adds reversed edges."""
+        """Copies the named columns, then drops self-loops if asked, adds reversed edges, merges parallel edges (one of them stays, that of the least attributes in their order)."""
         named = {"weight": weight, "edge_id": edge_id, "edge_type": edge_type, "start_time": start_time, "end_time": end_time}
         lacking = [c for c in (source, destination, *filter(None, named.values())) if c not in df.columns]
         if lacking:
@@ -34,7 +34,7 @@ class Graph:
             edges = edges.unionByName(edges.where("src != dst").withColumns({"src": F.col("dst"), "dst": F.col("src")}))
         if not multi:
             rest = [c for c in edges.columns if c not in ("src", "dst")]
-            edges = edges.groupBy("src", "dst").agg(*[F.min(c).alias(c) for c in rest]) if rest else edges.distinct()
+            edges = edges.groupBy("src", "dst").agg(F.min(F.struct(*rest)).alias("_m")).select("src", "dst", "_m.*") if rest else edges.distinct()
         return cls(edges, directed, multi, vertices)
 
     @property
@@ -77,10 +77,10 @@ class Graph:
         return self.edges.where(F.col("src") == F.lit(n)).select(F.col("dst").alias("vertex")).distinct()
 
     def to_directed(self) -> Graph:
-        return Graph(self.weights() if self.weighted else self.edges.select("src", "dst"), True, self.multi, self.own_vertices)
+        return Graph(self.edges, True, self.multi, self.own_vertices)
 
     def to_undirected(self) -> Graph:
-        return Graph.from_edgelist(self.edges, weight="weight" if self.weighted else None, directed=False, multi=self.multi, vertices=self.own_vertices)
+        return Graph.from_edgelist(self.edges, **{c: c for c in self.edges.columns if c not in ("src", "dst")}, directed=False, multi=self.multi, vertices=self.own_vertices)
 
     def add_nodes_from(self, nodes: DataFrame, part: str) -> None:
         """Records a part of an n-partite graph."""

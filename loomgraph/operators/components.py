@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomgraph.graph import Graph
 from loomgraph.operators.structure import induced_subgraph
 from loomgraph.plans.components import connected_labels
+from loomgraph.plans.loop import FailedToConvergeError
 from loomgraph.plans.shared import forget, written
 
 
@@ -52,22 +53,69 @@ def strongly_connected_components(g: Graph) -> DataFrame:
     return done.select("vertex", F.col("m").alias("labels")) if done is not None else g.vertices().select("vertex", F.col("vertex").alias("labels"))
 
 
-def core_number(g: Graph, max_rounds: int = 1000) -> DataFrame:
-    """vertex, core_number: each value becomes the h-index of the neighbours' until none changes. Self-loops don't count."""
+def _trees(edges: DataFrame) -> DataFrame:
+    """vertex: those of components without a cycle."""
+    labels, _ = written(connected_labels(edges))
+    n = labels.groupBy("label").agg(F.count("*").alias("n"))
+    m = edges.join(labels.select(F.col("vertex").alias("src"), "label"), "src").groupBy("label").agg((F.count("*") / 2).alias("m"))
+    return labels.join(n.join(m, "label").where("m = n - 1").select("label"), "label", "left_semi").select("vertex")
+
+
+def core_number(g: Graph, max_rounds: int | None = None, patience: int = 16) -> DataFrame:
+    """vertex, core_number: each value becomes the h-index of the neighbours' until none changes. Self-loops don't count.
+
+    After ``patience`` rounds components that are trees, where long paths would take
+    a round a vertex, are settled at once: 1 throughout. With ``max_rounds`` it
+    raises if no fixpoint is met in as many.
+    """
+    spark = g.edges.sparkSession
     edges, _ = written(g.edges.where("src != dst").select("src", "dst").distinct())
     state, path = written(g.vertices().join(edges.groupBy(F.col("src").alias("vertex")).agg(F.count("*").alias("c")), "vertex", "left").fillna(0, ["c"]).withColumn("f", F.lit(True)))
-    for _ in range(max_rounds):
+    rounds = 0
+    while True:
+        if max_rounds is not None and rounds >= max_rounds:
+            raise FailedToConvergeError(f"core_number: no fixpoint in {max_rounds} rounds")
+        rounds += 1
+        if rounds == patience:
+            settled, _ = written(_trees(edges).withColumn("tree", F.lit(True)))
+            old, (state, path) = path, written(state.join(settled, "vertex", "left").select("vertex", F.when(F.col("tree"), F.least("c", F.lit(1))).otherwise(F.col("c")).alias("c"), "f"))
+            forget(spark, old)
+            edges, _ = written(edges.join(settled.select(F.col("vertex").alias("src")), "src", "left_anti"))
         seen = edges.join(state.select(F.col("vertex").alias("dst"), F.col("c").alias("v")), "dst").groupBy("src", "v").agg(F.count("*").alias("n"))  # counts by value, so a hub's neighbours combine
         packed = seen.groupBy(F.col("src").alias("vertex")).agg(F.reverse(F.sort_array(F.collect_list(F.struct("v", "n")))).alias("vs"))
         h = F.expr("aggregate(vs, struct(0L AS seen, 0L AS h), (a, x) -> struct(a.seen + x.n AS seen, greatest(a.h, least(x.v, a.seen + x.n)) AS h), a -> a.h)")
-        new, new_path = written(state.join(packed.select("vertex", h.alias("h")), "vertex", "left").select("vertex", F.least("c", F.coalesce("h", "c")).alias("c"), F.expr("coalesce(h < c, false)").alias("f")))
-        forget(g.edges.sparkSession, path)
-        state, path = new, new_path
+        old, (state, path) = path, written(state.join(packed.select("vertex", h.alias("h")), "vertex", "left").select("vertex", F.least("c", F.coalesce("h", "c")).alias("c"), F.expr("coalesce(h < c, false)").alias("f")))
+        forget(spark, old)
         if state.where("f").isEmpty():
             break
     return state.select("vertex", F.col("c").alias("core_number"))
 
 
+def connected_components(g: Graph, connection: str = "weak") -> DataFrame:
+    """The weak or strong components, by name."""
+    if connection not in ("weak", "strong"):
+        raise ValueError("connection is weak or strong")
+    return weakly_connected_components(g) if connection == "weak" else strongly_connected_components(g)
+
+
+def strong_connected_component(g: Graph, vertex) -> DataFrame:
+    """vertex: the strong component that holds one vertex, by what it reaches and what reaches it."""
+    edges, _ = written(g.edges.select("src", "dst").distinct())
+    start = g.vertices().where(F.col("vertex") == F.lit(vertex))
+
+    def reached(e: DataFrame) -> DataFrame:
+        found, path = written(start)
+        front = found
+        while not front.isEmpty():
+            front, _ = written(front.join(e, F.col("vertex") == F.col("src")).select(F.col("dst").alias("vertex")).distinct().join(found, "vertex", "left_anti"))
+            old, (found, path) = path, written(found.unionByName(front))
+            forget(g.edges.sparkSession, old)
+        return found
+
+    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return reached(edges).join(reached(back), "vertex", "left_semi")
+
+
 def k_core(g: Graph, k: int | None = None) -> DataFrame:
     """Edges among vertices of core number ``k`` or more; the largest there is by default."""
     cores, _ = written(core_number(g))

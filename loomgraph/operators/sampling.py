@@ -15,9 +15,9 @@ def uniform(seed: int, *keys) -> Column:
 
 
 def random_walks(g: Graph, start: DataFrame, max_depth: int, seed: int = 42, biased: bool = False, p: float | None = None, q: float | None = None) -> DataFrame:
-    """walk_id, step, vertex, weight: a walk for each row of ``start`` (vertex); it ends early where nothing leads on. With ``p`` and ``q`` steps are biased by the vertex before (node2vec)."""
+    """walk_id, step, vertex, weight: a walk for each row of ``start`` (vertex), named by a hash of the vertex and which of its rows it is; it ends early where nothing leads on. With ``p`` and ``q`` steps are biased by the vertex before (node2vec)."""
     edges, _ = written(g.weights().groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
-    first, _ = written(start.select("vertex").withColumn("walk_id", F.monotonically_increasing_id()))
+    first, _ = written(start.groupBy("vertex").agg(F.count("*").alias("_n")).select("vertex", F.explode(F.sequence(F.lit(1), "_n")).alias("_k")).withColumn("walk_id", F.xxhash64("vertex", "_k")))
     front = first.select("walk_id", F.lit(0).alias("step"), "vertex", F.lit(None).cast("double").alias("weight"), F.lit(None).cast(g.edges.schema["src"].dataType).alias("prev"))
     out, front = front, front
     for step in range(1, max_depth + 1):
@@ -87,20 +87,24 @@ def renumber_sample(sample: DataFrame) -> DataFrame:
     return sample.join(named.select("batch_id", F.col("v").alias("src"), F.col("id").alias("src_id")), ["batch_id", "src"]).join(named.select("batch_id", F.col("v").alias("dst"), F.col("id").alias("dst_id")), ["batch_id", "dst"])
 
 
-def negative_sampling(g: Graph, n: int, seed: int = 42, rounds: int = 20) -> DataFrame:
-    """src, dst: ``n`` different pairs of vertices without an edge, fewer if the rounds don't find them."""
+def negative_sampling(g: Graph, n: int, seed: int = 42) -> DataFrame:
+    """src, dst: ``n`` different pairs of vertices without an edge; all there are, if fewer."""
     v, _ = written(g.vertices())
     total = v.count()
     ranged = v.repartitionByRange("vertex").withColumn("_p", F.spark_partition_id())
     held = ranged.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy("vertex")))
+    held, _ = written(held)
     before = held.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_b", F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_p")) - F.col("_n"))
     named, _ = written(held.join(before, "_p").select((F.col("_b") + F.col("_r") - 1).alias("i"), "vertex"))
     edges, out = g.edges.select("src", "dst"), None
     spark = g.edges.sparkSession
-    for r in range(rounds):
+    free = total * total - edges.join(named.select(F.col("vertex").alias("src")), "src", "left_semi").distinct().count()
+    r = -1
+    while True:
+        r += 1
         draws = spark.range(2 * n).select(*[F.floor(uniform(seed, F.lit(r), F.lit(e), "id") * total).cast("bigint").alias(e) for e in ("a", "b")])
         pairs = draws.join(named.select(F.col("i").alias("a"), F.col("vertex").alias("src")), "a").join(named.select(F.col("i").alias("b"), F.col("vertex").alias("dst")), "b").select("src", "dst").distinct().join(edges, ["src", "dst"], "left_anti")
         out, _ = written(pairs if out is None else out.unionByName(pairs).distinct())
-        if out.count() >= n:
+        if out.count() >= min(n, free):
             break
     return out.orderBy(F.xxhash64(F.lit(seed), "src", "dst"), "src", "dst").limit(n)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.graph import Graph
+from loomgraph.plans.shared import written
 
 
 def remove_self_loops(e: DataFrame) -> DataFrame:
@@ -117,7 +118,7 @@ def renumber(df: DataFrame, keys: list[list[str]]) -> DataFrame:
         part = df.select(*[F.col(c).alias(n) for c, n in zip(cols, names, strict=True)])
         all_ = part if all_ is None else all_.unionByName(part)
     ranged = all_.distinct().repartitionByRange(*names).withColumn("_p", F.spark_partition_id())
-    held = ranged.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*names)))
+    held, _ = written(ranged.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*names))))  # read twice, so the ranges must stay the same
     counts = held.groupBy("_p").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_b", F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_p")) - F.col("_n"))  # a row for each partition
     return held.join(before, "_p").select((F.col("_b") + F.col("_r") - 1).alias("id"), *names)
@@ -137,11 +138,22 @@ def edge_lookup(e: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.join(e.select("edge_id", "edge_type", "src", "dst"), ["edge_id", "edge_type"], "left").select("edge_id", "edge_type", F.coalesce("src", F.lit(-1)).alias("src"), F.coalesce("dst", F.lit(-1)).alias("dst"))
 
 
+def to_external(values: DataFrame, numbers: DataFrame, column: str = "vertex") -> DataFrame:
+    """``values`` with the numbers in ``column`` replaced by the keys that :func:`renumber` gave them."""
+    keys = [c for c in numbers.columns if c != "id"]
+    return values.join(numbers, F.col(column) == F.col("id")).select(*keys, *[c for c in values.columns if c != column])
+
+
+def to_internal(values: DataFrame, numbers: DataFrame, columns: list[str]) -> DataFrame:
+    """``values`` with ``id``, the number of the key in ``columns``."""
+    keys = [c for c in numbers.columns if c != "id"]
+    on = F.lit(True)
+    for c, k in zip(columns, keys, strict=True):
+        on = on & (F.col(c) == F.col(k))
+    return values.join(numbers, on).select(*values.columns, "id")
+
+
 def random_vertices(g: Graph, n: int, seed: int = 42) -> DataFrame:
     """``n`` vertices in the order of a seeded hash."""
     return g.vertices().orderBy(F.xxhash64(F.lit(seed), "vertex"), "vertex").limit(n)
 
-
-def replicate(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
-    """``df`` for broadcasting, if it has at most ``most_rows`` rows; else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df

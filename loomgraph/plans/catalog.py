@@ -42,6 +42,10 @@ def parts(spark, d) -> Graph:
     return Graph.from_edgelist(tables.parts_together(spark, d), weight="weight")
 
 
+def friends(spark, d) -> Graph:
+    return Graph.from_edgelist(tables.users_together(spark, d), weight="weight")
+
+
 def users(spark, d) -> Graph:
     return Graph(tables.user_sequence(spark, d).select("src", "dst").distinct(), directed=True)
 
@@ -201,9 +205,9 @@ def induced_subgraph(spark, d):
     return structure.induced_subgraph(g, g.vertices().withColumn("subgraph", F.col("vertex") % 10))
 
 
-@query("SELECT DISTINCT a.src AS first, b.dst AS second FROM ps a JOIN ps b ON a.dst = b.src", "pt")
+@query("SELECT DISTINCT a.src AS first, b.dst AS second FROM ps a JOIN ps b ON a.dst = b.src", "fr")
 def two_hop(spark, d):
-    return structure.two_hop(parts(spark, d))
+    return structure.two_hop(friends(spark, d))
 
 
 @query("SELECT DISTINCT a.src AS start, c.dst AS vertex FROM ud a JOIN ud b ON a.dst = b.src JOIN ud c ON b.dst = c.src WHERE a.src IN (1, 2, 3)", "us")
@@ -221,18 +225,18 @@ def hypergraph(spark, d):
     return structure.hypergraph(tables.read(spark, d, "customer"), ["c_mktsegment", "c_nationkey"], "c_custkey")[1]
 
 
-@query("SELECT r AS edge_id, (r % 3)::INTEGER AS edge_type, coalesce(src, -1) AS src, coalesce(dst, -1) AS dst FROM range(0, 20000, 7) t(r) LEFT JOIN us ON us.edge_id = r", "us")
+@query("SELECT r AS edge_id, (r % 3)::INTEGER AS edge_type, coalesce(src, -1) AS src, coalesce(dst, -1) AS dst FROM (SELECT event_id AS r FROM events) LEFT JOIN us ON us.edge_id = r", "us")
 def edge_lookup(spark, d):
-    return structure.edge_lookup(events(spark, d).edges, spark.range(0, 20000, 7).select(F.col("id").alias("edge_id"), (F.col("id") % 3).cast("int").alias("edge_type")))
+    return structure.edge_lookup(events(spark, d).edges, tables.read(spark, d, "events").select(F.col("event_id").alias("edge_id"), (F.col("event_id") % 3).cast("int").alias("edge_type")))
 
 
-BFS = "b(vertex, distance) AS (SELECT vertex, 0 FROM v WHERE vertex = (SELECT min(vertex) FROM v) UNION SELECT dst, distance + 1 FROM b JOIN ps ON src = b.vertex WHERE distance < 9)"
+BFS = "b(vertex, distance) AS (SELECT vertex, 0 FROM v WHERE vertex = (SELECT min(vertex) FROM v) UNION SELECT dst, distance + 1 FROM b JOIN ps ON src = b.vertex WHERE distance < 40)"
 
 
 @query("WITH+" + V.format(e="ps") + ", " + BFS + " SELECT v.vertex, coalesce(min(distance), 2147483647)::INTEGER AS distance FROM v LEFT JOIN b ON b.vertex = v.vertex GROUP BY v.vertex", "pt", True)
 def bfs(spark, d):
     g = parts(spark, d)
-    return traversal.bfs(g, g.vertices().agg(F.min("vertex").alias("vertex")), depth_limit=9).select("vertex", "distance")
+    return traversal.bfs(g, g.vertices().agg(F.min("vertex").alias("vertex"))).select("vertex", "distance")
 
 
 SSSP = chain("SELECT vertex, CASE WHEN vertex = (SELECT min(vertex) FROM v) THEN 0.0::DOUBLE END AS x FROM v", "SELECT {p}.vertex, least({p}.x, s) AS x FROM {p} LEFT JOIN (SELECT dst AS vertex, min(x + weight) AS s FROM ps JOIN {p} ON {p}.vertex = src GROUP BY dst) g ON g.vertex = {p}.vertex", 40)
@@ -326,9 +330,9 @@ SIM = "{v}, dg AS (SELECT src, count(*)::DOUBLE AS d FROM ps GROUP BY src), pr A
 
 
 def _similar(kind: str, sql: str):
-    @query(f"WITH+{SIM} SELECT first, second, round({sql}, 8) AS {kind}_coeff FROM s", "pt")
+    @query(f"WITH+{SIM} SELECT first, second, round({sql}, 8) AS {kind}_coeff FROM s", "fr")
     def f(spark, d):
-        return rounded(similarity.similarity(parts(spark, d), kind), f"{kind}_coeff", digits=8)
+        return rounded(similarity.similarity(friends(spark, d), kind), f"{kind}_coeff", digits=8)
 
     QUERIES[kind], ORACLE_SQL[kind] = QUERIES.pop("f"), ORACLE_SQL.pop("f")
 
@@ -339,19 +343,19 @@ _similar("overlap", "i / least(da, db)")
 _similar("cosine", "CASE WHEN i > 0 THEN 1.0::DOUBLE ELSE 0 END")
 
 
-@query(f"WITH+{SIM}, wd AS (SELECT src, sum(weight) AS w FROM ps GROUP BY src) SELECT first, second, round(m / (x.w + y.w - m), 8) AS jaccard_coeff FROM s JOIN wd x ON x.src = first JOIN wd y ON y.src = second", "pt")
+@query(f"WITH+{SIM}, wd AS (SELECT src, sum(weight) AS w FROM ps GROUP BY src) SELECT first, second, round(m / (x.w + y.w - m), 8) AS jaccard_coeff FROM s JOIN wd x ON x.src = first JOIN wd y ON y.src = second", "fr")
 def jaccard_weighted(spark, d):
-    return rounded(similarity.similarity(parts(spark, d), "jaccard", use_weight=True), "jaccard_coeff", digits=8)
+    return rounded(similarity.similarity(friends(spark, d), "jaccard", use_weight=True), "jaccard_coeff", digits=8)
 
 
-@query(f"WITH+{SIM} SELECT first, second, round(i / (da + db - i), 8) AS jaccard_coeff FROM s WHERE first <> second ORDER BY i / (da + db - i) DESC, first, second LIMIT 25", "pt")
+@query(f"WITH+{SIM} SELECT first, second, round(i / (da + db - i), 8) AS jaccard_coeff FROM s WHERE first <> second ORDER BY i / (da + db - i) DESC, first, second LIMIT 25", "fr")
 def all_pairs_jaccard(spark, d):
-    return rounded(similarity.all_pairs(parts(spark, d), "jaccard", topk=25), "jaccard_coeff", digits=8)
+    return rounded(similarity.all_pairs(friends(spark, d), "jaccard", topk=25), "jaccard_coeff", digits=8)
 
 
-@query("SELECT a.src AS \"1\", a.dst AS \"2\", b.dst AS \"3\" FROM ps a JOIN ps b ON a.dst = b.src JOIN ps c ON c.src = b.dst AND c.dst = a.src", "pt")
+@query("SELECT a.src AS \"1\", a.dst AS \"2\", b.dst AS \"3\" FROM ps a JOIN ps b ON a.dst = b.src JOIN ps c ON c.src = b.dst AND c.dst = a.src", "fr")
 def subgraph_monomorphism(spark, d):
-    return patterns.subgraph_monomorphism(parts(spark, d), [(1, 2), (2, 3), (3, 1)])
+    return patterns.subgraph_monomorphism(friends(spark, d), [(1, 2), (2, 3), (3, 1)])
 
 
 @query("SELECT i AS src, i + 1 AS dst FROM range(0, 99) t(i)")
@@ -416,14 +420,26 @@ def maximal_independent_set(spark, d):
     return components.maximal_independent_set(parts(spark, d))
 
 
-@query()
+LEVELS = 9
+#: Distances and numbers of shortest paths of all pairs, level by level.
+PATHS = V.format(e="ud") + ", d0 AS MATERIALIZED (SELECT vertex AS s, vertex AS t, 0 AS d, 1.0::DOUBLE AS n FROM v), " + ", ".join(f"d{i} AS MATERIALIZED (SELECT * FROM d{i - 1} UNION ALL SELECT s, dst AS t, {i} AS d, sum(n) AS n FROM d{i - 1} a JOIN ud ON src = a.t WHERE a.d = {i - 1} AND NOT EXISTS (SELECT 1 FROM d{i - 1} x WHERE x.s = a.s AND x.t = ud.dst) GROUP BY s, dst)" for i in range(1, LEVELS + 1))
+
+
+@query(f"WITH+{PATHS}, b AS (SELECT a.t AS vertex, sum(a.n * c.n / st.n) AS b FROM d{LEVELS} a JOIN d{LEVELS} c ON c.s = a.t JOIN d{LEVELS} st ON st.s = a.s AND st.t = c.t WHERE a.d > 0 AND c.d > 0 AND st.d = a.d + c.d GROUP BY a.t) SELECT v.vertex, round(coalesce(b, 0) / ((SELECT (count(*) - 1.0) * (count(*) - 2) FROM v)), 8) AS betweenness_centrality FROM v LEFT JOIN b ON b.vertex = v.vertex", "us")
 def betweenness_centrality(spark, d):
-    return centrality.betweenness_centrality(users(spark, d), k=some(spark, 1, 2, 3, 4))
+    return rounded(centrality.betweenness_centrality(users(spark, d)), "betweenness_centrality", digits=8)
+
+
+@query(f"WITH+{PATHS} SELECT count(*) AS edges, round((SELECT sum(d) FROM d{LEVELS}) / (SELECT count(*) * (count(*) - 1.0) FROM v), 6) AS total FROM ud", "us")
+def edge_betweenness_total(spark, d):
+    """All edges' values add up to the mean distance: every shortest path counts once for each of its edges."""
+    got = centrality.edge_betweenness_centrality(users(spark, d))
+    return got.agg(F.count("*").alias("edges"), F.round(F.sum("betweenness_centrality"), 6).alias("total"))
 
 
 @query()
 def louvain(spark, d):
-    return community.louvain(parts(spark, d), max_level=3, sweeps=6)[0]
+    return community.louvain(friends(spark, d))[0]
 
 
 @query()

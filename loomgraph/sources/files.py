@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomgraph.graph import Graph
+from loomgraph.plans.shared import written
 
 KINDS = {"int32": T.IntegerType(), "int64": T.LongType(), "float32": T.FloatType(), "float64": T.DoubleType(), "str": T.StringType()}
 
@@ -29,6 +30,13 @@ class Dataset:
         schema = T.StructType([T.StructField(n, KINDS[k]) for n, k in zip(self.names, self.kinds, strict=True)])
         return spark.read.schema(schema).option("sep", self.sep).option("header", self.header).csv(self.path)
 
+    def number_of_edges(self, spark: SparkSession) -> int:
+        return self.edgelist(spark).count()
+
+    def number_of_vertices(self, spark: SparkSession) -> int:
+        e = self.edgelist(spark)
+        return e.select(F.explode(F.array(*self.names[:2]))).distinct().count()
+
     def graph(self, spark: SparkSession, ignore_weights: bool = False) -> Graph:
         weight = self.names[2] if len(self.names) > 2 and not ignore_weights else None
         return Graph.from_edgelist(self.edgelist(spark), self.names[0], self.names[1], weight=weight, directed=self.directed, multi=self.multi)
@@ -57,3 +65,31 @@ def from_matrix(spark: SparkSession, matrix, names: list | None = None) -> DataF
     rows = [(at[i], at[j], float(m[i, j])) for i, j in zip(*np.nonzero(m), strict=True)]
     kind = "string" if at and isinstance(at[0], str) else "bigint"
     return spark.createDataFrame(rows, f"src {kind}, dst {kind}, weight double")
+
+
+def from_pandas_edgelist(spark: SparkSession, frame, source: str = "src", destination: str = "dst", weight: str | None = None, directed: bool = False) -> Graph:
+    """A graph of a pandas table's edges."""
+    cols = [source, destination, *([weight] if weight else [])]
+    return Graph.from_edgelist(spark.createDataFrame(frame[cols]), source, destination, weight=weight, directed=directed)
+
+
+def from_coordinates(spark: SparkSession, rows, columns, values=None) -> DataFrame:
+    """Edges of a sparse matrix's coordinates."""
+    values = [1.0] * len(rows) if values is None else values
+    return spark.createDataFrame([(int(i), int(j), float(x)) for i, j, x in zip(rows, columns, values, strict=True)], "src bigint, dst bigint, weight double")
+
+
+def from_columns(spark: SparkSession, offsets: list[int], indices: list[int], values: list[float] | None = None) -> DataFrame:
+    """Edges of compressed columns."""
+    e = from_adjlist(spark, offsets, indices, values)
+    return e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
+
+
+def compressed_rows(edges: DataFrame) -> DataFrame:
+    """src, offset, indices, weights: a table of compressed rows; the offset is of the row's first edge in the order of src."""
+    weight = F.col("weight") if "weight" in edges.columns else F.lit(1.0)
+    rows = edges.groupBy("src").agg(F.sort_array(F.collect_list(F.struct("dst", weight.alias("weight")))).alias("x")).withColumn("n", F.size("x"))
+    ranged = rows.repartitionByRange("src").withColumn("_p", F.spark_partition_id())
+    held, _ = written(ranged.withColumn("_in", F.sum("n").over(Window.partitionBy("_p").orderBy("src").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")))
+    before = held.groupBy("_p").agg(F.sum("n").alias("_n")).withColumn("_b", F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_p")) - F.col("_n"))  # a row for each partition
+    return held.join(before, "_p").select("src", (F.col("_b") + F.col("_in")).alias("offset"), F.expr("transform(x, y -> y.dst)").alias("indices"), F.expr("transform(x, y -> y.weight)").alias("weights"))

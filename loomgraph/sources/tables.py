@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SUPPLIER_BASE = 10_000_000
+WEIGHT = "cast((src * 31 + dst * 17) % 97 + 1 AS double)"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,10 +20,16 @@ def customer_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parts_together(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts ordered together, both in quantities from 40 on; src < dst, a weight that follows from the ends."""
-    l = read(spark, sf_dir, "lineitem").where("l_quantity >= 40").select("l_orderkey", "l_partkey")
+    """Parts ordered together; src < dst, a weight that follows from the ends."""
+    l = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
     pairs = l.select("l_orderkey", F.col("l_partkey").alias("src")).join(l.select("l_orderkey", F.col("l_partkey").alias("dst")), "l_orderkey").where("src < dst").select("src", "dst").distinct()
-    return pairs.withColumn("weight", ((F.col("src") * 31 + F.col("dst") * 17) % 97 + 1).cast("double"))
+    return pairs.withColumn("weight", F.expr(WEIGHT))
+
+
+def users_together(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users of whom one comes after the other on a day; src < dst, a weight that follows from the ends."""
+    pairs = user_sequence(spark, sf_dir).where("src != dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    return pairs.withColumn("weight", F.expr(WEIGHT))
 
 
 def user_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,10 +45,14 @@ def geography(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.selectExpr("cast(n_regionkey AS bigint) AS src", "n_nationkey + 100L AS dst").unionByName(c.selectExpr("c_nationkey + 100L AS src", "c_custkey + 1000 AS dst")).unionByName(s.selectExpr("s_nationkey + 100L AS src", f"s_suppkey + {SUPPLIER_BASE} AS dst"))
 
 
+_US = "us AS (SELECT * FROM (SELECT user_id AS src, lead(user_id) OVER (PARTITION BY ts::DATE ORDER BY ts, event_id) AS dst, event_id AS edge_id, floor(epoch(ts))::BIGINT AS start_time, (event_id % 3)::INTEGER AS edge_type FROM events) WHERE dst IS NOT NULL), ud AS (SELECT DISTINCT src, dst FROM us)"
+_BOTH = "ps AS (SELECT src, dst, weight FROM pt UNION ALL SELECT dst, src, weight FROM pt)"
+
 #: The same rows in SQL, as common table expressions.
 SQL = {
     "cs": f"cs AS (SELECT DISTINCT o_custkey AS src, l_suppkey + {SUPPLIER_BASE} AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey)",
-    "pt": "pt AS (SELECT src, dst, ((src * 31 + dst * 17) % 97 + 1)::DOUBLE AS weight FROM (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey WHERE a.l_quantity >= 40 AND b.l_quantity >= 40)), ps AS (SELECT src, dst, weight FROM pt UNION ALL SELECT dst, src, weight FROM pt)",
-    "us": "us AS (SELECT * FROM (SELECT user_id AS src, lead(user_id) OVER (PARTITION BY ts::DATE ORDER BY ts, event_id) AS dst, event_id AS edge_id, floor(epoch(ts))::BIGINT AS start_time, (event_id % 3)::INTEGER AS edge_type FROM events) WHERE dst IS NOT NULL), ud AS (SELECT DISTINCT src, dst FROM us)",
+    "pt": "pt AS (SELECT src, dst, ((src * 31 + dst * 17) % 97 + 1)::DOUBLE AS weight FROM (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey)), ps AS (SELECT src, dst, weight FROM pt UNION ALL SELECT dst, src, weight FROM pt)",
+    "us": _US,
+    "fr": f"{_US}, pt AS (SELECT src, dst, ((src * 31 + dst * 17) % 97 + 1)::DOUBLE AS weight FROM (SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM us WHERE src <> dst)), {_BOTH}",
     "geo": f"geo AS (SELECT n_regionkey::BIGINT AS src, n_nationkey + 100::BIGINT AS dst FROM nation UNION ALL SELECT c_nationkey + 100::BIGINT, c_custkey + 1000 FROM customer UNION ALL SELECT s_nationkey + 100::BIGINT, s_suppkey + {SUPPLIER_BASE} FROM supplier)",
 }

@@ -8,6 +8,7 @@ from loomgraph.graph import Graph
 from loomgraph.operators import centrality, community, components, patterns, sampling, similarity, structure, traversal
 from loomgraph.sources import files, generators
 
+# Published small fixtures (edges, weights) and the results they must give, here and in the tests below.
 SRC = [0, 1, 1, 2, 2, 2, 3, 4]
 DST = [1, 3, 4, 0, 1, 3, 5, 5]
 WEIGHT = [0.1, 2.1, 1.1, 5.1, 3.1, 4.1, 7.2, 3.2]
@@ -169,3 +170,50 @@ def test_streamed_degrees(spark):
 
     e = spark.createDataFrame([(1, 2, "2024-01-01 00:10:00"), (1, 3, "2024-01-01 00:20:00")], "src bigint, dst bigint, at string").withColumn("at", F.to_timestamp("at"))
     assert windowed_degrees(e, "at").first()["out_degree"] == 2
+
+
+def test_core_number_of_a_long_path(spark):
+    path = generators.path_graph(spark, 3000)
+    got = components.core_number(Graph.from_edgelist(path)).groupBy("core_number").count().collect()
+    assert [tuple(r) for r in got] == [(1, 3000)]
+    from loomgraph.plans.loop import FailedToConvergeError
+
+    with pytest.raises(FailedToConvergeError):
+        components.core_number(Graph.from_edgelist(generators.path_graph(spark, 41)), max_rounds=5)
+
+
+def test_parallel_edges_keep_one_edge(spark):
+    e = spark.createDataFrame([(1, 2, 5.0, 7), (1, 2, 3.0, 9)], "src bigint, dst bigint, w double, e bigint")
+    assert Graph.from_edgelist(e, weight="w", edge_id="e", directed=True).edges.first()[2:] == (3.0, 9)
+
+
+def test_string_ids(spark):
+    e = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0), ("x", "y", 1.0)], "src string, dst string, weight double")
+    g = Graph(e, directed=True)
+    got = {r[0]: tuple(r)[1:] for r in traversal.bfs(g, spark.createDataFrame([("a",)], "vertex string")).collect()}
+    assert got["c"] == (2, "b") and got["a"] == (0, None) and got["y"][0] == traversal.FAR_INT
+    assert {r[0]: r[2] for r in traversal.sssp(g, "a").collect()}["c"] == "b"
+    assert traversal.shortest_path_length(g, "a", "c") == 2.0
+    with pytest.raises(ValueError):
+        traversal.shortest_path_length(g, "a", "nowhere")
+    tree = traversal.bfs(g, spark.createDataFrame([("a",)], "vertex string"))
+    assert [r["vertex"] for r in traversal.traversed_path(tree, "c").orderBy("step").collect()] == ["c", "b", "a"]
+    assert traversal.padded_paths(tree, spark.createDataFrame([("c",)], "vertex string")).first()["path"] == ["a", "b", "c"]
+
+
+def test_walks_do_not_depend_on_partitions(g6d, spark):
+    start = spark.createDataFrame([(i % 3,) for i in range(12)], "vertex bigint")
+    a, b = (sorted(map(str, sampling.random_walks(g6d, start.repartition(n), 3).collect())) for n in (1, 5))
+    assert a == b and len({r["walk_id"] for r in sampling.random_walks(g6d, start, 1).collect()}) == 12
+
+
+def test_negative_samples_all_there_are(g6d):
+    got = [tuple(r) for r in sampling.negative_sampling(g6d, 1000).collect()]
+    assert len(got) == len(set(got)) == 36 - 8 and not set(got) & set(zip(SRC, DST))
+
+
+def test_strong_component_of_one(spark):
+    e = spark.createDataFrame([(0, 1), (1, 2), (2, 0), (2, 3)], "src bigint, dst bigint")
+    g = Graph(e, directed=True)
+    assert values(components.strong_connected_component(g, 1), "vertex") == [0, 1, 2]
+    assert values(components.connected_components(g, "strong"), "labels") == [0, 0, 0, 3]
