@@ -5,6 +5,10 @@ largest gap |d(query, pivot) - d(candidate, pivot)| is a lower bound of their
 distance, and so, the norms known, an upper bound of their inner product.
 Candidates are evaluated in the order of this bound until it falls below the
 k-th best score, which ends the search exactly.
+
+The search runs block by block. A query's k-th best score among the sampled vectors,
+which are rows of the table, bounds its k-th best of all from below, so that each
+block starts from it and not from nothing.
 """
 
 from __future__ import annotations
@@ -15,8 +19,8 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.vector_blocks import best_pairs, once, sample, usable
 
-#: Vectors the pivots are chosen from (a bounded sample; results don't depend on it), and candidates evaluated at once.
-PIVOT_SAMPLE, STEP = 512, 64
+#: Vectors the pivots and first bounds come from (a bounded sample; results don't depend on it), and candidates evaluated at once.
+PIVOT_SAMPLE, STEP = 512, 256
 
 
 def pivots(vectors: np.ndarray, n: int) -> np.ndarray:
@@ -33,46 +37,59 @@ def pivots(vectors: np.ndarray, n: int) -> np.ndarray:
 def exact_search(vectors: DataFrame, query: Column, *, k: int = 5, scale: float = 256.0, n_pivots: int = 32, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` highest inner products of floor(scale * x), ties to the smaller id.
 
-    Vectors that are null or empty, or hold null or non-finite components, take no
-    part. Components are whole numbers after scaling; products beyond 64 bits are held at its ends.
+    Vectors that are null or empty, or hold null or non-finite components, and rows
+    with a null id take no part; other columns are left out. Rows that agree in id and
+    score count once. Components are whole numbers after scaling; products beyond 64 bits are held at its ends.
     """
     whole = usable(vectors, id_col, vec_col).withColumn("_v", F.expr(f"transform(_v, x -> cast(floor({float(scale)!r}D * x) AS double))"))
-    own = pivots(sample(whole, PIVOT_SAMPLE), n_pivots)
+    known_ids, known = sample(whole, PIVOT_SAMPLE)
+    own = pivots(known, n_pivots)
 
     def prepare(m: np.ndarray) -> list[np.ndarray]:
         table = np.zeros((len(m), 1)) if m.shape[1] != own.shape[1] else np.stack([np.linalg.norm(m - p, axis=1) for p in own], 1)
         return [(m * m).sum(1), table]
 
+    def products(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Inner products of whole numbers, exactly: in doubles where no sum leaves their whole numbers, else in integers of any size."""
+        if rows.size == 0 or rows.shape[1] * float(np.abs(rows).max()) * float(np.abs(q).max()) < 2.0**53:
+            return (rows @ q).astype(np.int64)
+        full = [sum(int(x) * int(y) for x, y in zip(row, q)) for row in rows]
+        return np.array([min(max(x, -(2**63)), 2**63 - 1) for x in full], np.int64)
+
     def search(qids, queries, q_arrays, ids, matrix, arrays):
-        norms, table = arrays[0].ravel(), arrays[1]
-        small = np.sqrt(2.0**62 / matrix.shape[1]) > max(np.abs(matrix).max(), np.abs(queries).max())
-        exact = matrix.astype(np.int64) if small else np.array([[int(x) for x in row] for row in matrix], object)
+        norms, table = arrays[0].ravel(), np.ascontiguousarray(arrays[1].T)
         out = ([], [], [])
+        fits = known.shape[1:] == matrix.shape[1:]
         for i, qid in enumerate(qids.tolist()):
+            q = queries[i]
+            floor = None
+            if fits and (first := known_ids != qid).sum() >= k:
+                held = products(known[first], q)
+                single = once(known_ids[first], held)
+                if len(single) >= k:
+                    floor = np.partition(held[single], -k)[-k]
             with np.errstate(all="ignore"):
-                gap = np.abs(table - q_arrays[1][i]).max(1)
+                gap = np.abs(table - q_arrays[1][i][:, None]).max(0)
                 bound = (norms + q_arrays[0][i, 0] - gap * gap) / 2
                 bound += 1e-9 * (norms + q_arrays[0][i, 0]) + 1e-6  # what rounding may have taken
             bound[np.isnan(bound)] = np.inf  # out of the doubles' range: no bound
-            bound[ids == qid] = -np.inf
-            order = np.argsort(-bound, kind="stable")
-            order = order[bound[order] > -np.inf]
-            q, scores, kth, at = np.array([int(x) for x in queries[i]], exact.dtype), np.zeros(0, exact.dtype), None, 0
+            open_ = np.flatnonzero((ids != qid) if floor is None else (ids != qid) & (bound >= float(floor) * (1 - np.sign(floor) * 1e-15)))
+            order = open_[np.argsort(-bound[open_], kind="stable")]
+            scores, kth, at = np.zeros(0, np.int64), floor, 0
             while at < len(order) and (kth is None or bound[order[at]] >= kth):
-                scores = np.concatenate([scores, (exact[order[at : at + STEP]] * q).sum(1)])
+                scores = np.concatenate([scores, products(matrix[order[at : at + STEP]], q)])
                 at += STEP
-                own_best = scores[once(ids[order[: len(scores)]], scores)]
-                if len(own_best) >= k:
-                    kth = np.sort(own_best)[-k]
+                best = scores[once(ids[order[: len(scores)]], scores)]
+                if len(best) >= k and (kth is None or np.partition(best, -k)[-k] > kth):
+                    kth = np.partition(best, -k)[-k]
             keep = scores >= kth if kth is not None else np.ones(len(scores), bool)
-            found = ids[order[: len(scores)]][keep]
-            scores = scores[keep]
+            found, scores = ids[order[: len(scores)]][keep], scores[keep]
             single = once(found, scores)
             found, scores = found[single], scores[single]
-            top = np.array(sorted(range(len(found)), key=lambda j: (-scores[j], found[j]))[:k], np.int64)
+            top = np.lexsort((found, -scores))[:k]
             out[0].extend([qid] * len(top))
             out[1].extend(found[top].tolist())
-            out[2].extend([min(max(int(x), -(2**63)), 2**63 - 1) for x in scores[top]])
+            out[2].extend(scores[top].tolist())
         return out
 
     return best_pairs(whole, query, k, prepare, search, "bigint")

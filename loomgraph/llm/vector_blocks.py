@@ -21,22 +21,22 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return v.where("_id IS NOT NULL AND _v IS NOT NULL AND size(_v) > 0 AND forall(_v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity'))")
 
 
-def sample(vectors: DataFrame, most: int) -> np.ndarray:
-    """At most ``most`` vectors, by the order of a hash of the id; of the commonest length among them."""
-    rows = [r[0] for r in vectors.orderBy(F.xxhash64("_id"), "_id").select("_v").limit(most).collect()]
+def sample(vectors: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """At most ``most`` rows, by the order of a hash of the id: ids, and vectors of the commonest length among them."""
+    rows = vectors.orderBy(F.xxhash64("_id"), "_id").select("_id", "_v").limit(most).collect()
     if not rows:
-        return np.zeros((0, 0))
-    sizes = [len(r) for r in rows]
+        return np.zeros(0, np.int64), np.zeros((0, 0))
+    sizes = [len(r[1]) for r in rows]
     size = max(set(sizes), key=lambda n: (sizes.count(n), n))
-    return np.array([r for r in rows if len(r) == size])
+    kept = [r for r in rows if len(r[1]) == size]
+    return np.array([r[0] for r in kept], np.int64), np.array([r[1] for r in kept])
 
 
 def once(ids: np.ndarray, scores: np.ndarray) -> np.ndarray:
-    """Places of rows that differ in id or score, one each; a score counts as it is held in 64 bits."""
+    """Places of rows that differ in id or score, one each."""
     if len(np.unique(ids)) == len(ids):
         return np.arange(len(ids))
-    held = scores.tolist() if scores.dtype == float else [min(max(int(x), -(2**63)), 2**63 - 1) for x in scores]
-    return np.array(sorted(dict(zip(zip(ids.tolist(), held), range(len(ids)))).values()), np.int64)
+    return np.array(sorted(dict(zip(zip(ids.tolist(), scores.tolist()), range(len(ids)))).values()), np.int64)
 
 
 def best_pairs(vectors: DataFrame, query: Column, k: int, prepare: Callable[[np.ndarray], list[np.ndarray]], search: Callable[..., tuple[np.ndarray, np.ndarray, np.ndarray]], score: str) -> DataFrame:
@@ -44,8 +44,8 @@ def best_pairs(vectors: DataFrame, query: Column, k: int, prepare: Callable[[np.
 
     ``prepare(matrix)`` gives a block's index arrays, kept with it;
     ``search(query ids, queries, query arrays, ids, vectors, arrays)`` gives
-    (query id, id, score) of at least the ``k`` best in a block, each (id, score)
-    counted once. Vectors compare with those of their length. Rows that agree in
+    (query id, id, score) of at least those in a block that are among the ``k`` best
+    of all, each (id, score) counted once. Vectors compare with those of their length. Rows that agree in
     id and score count once; a query is never its own candidate.
     """
     vectors, _ = written(vectors.select("_id", "_v").dropDuplicates())
