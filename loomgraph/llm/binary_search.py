@@ -13,7 +13,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame
 
-from loomgraph.llm.vector_blocks import best_pairs, once, sample, usable
+from loomgraph.llm.vector_blocks import best_pairs, floors, once, sample, usable
 
 #: Bits of a query's components, standard deviations the error bound covers, and rows of which each query knows the exact cosines before it meets a block (a bounded sample that only saves work).
 PLANES, SIGMAS, KNOWN = 6, 3.0, 512
@@ -64,6 +64,17 @@ def binary_search(vectors: DataFrame, query: Column, *, k: int = 5, seed: int =
         ones = np.bitwise_count(codes).sum(1, dtype=np.int64)
         error = SIGMAS * (np.sqrt(np.maximum(1 - scalar**2, 0)) / np.sqrt(max(size - 1, 1)) + step.max() / np.sqrt(12)) / scalar
         norms = np.sqrt((matrix * matrix).sum(1))
+        query_norms = np.sqrt((queries * queries).sum(1))
+        near = np.zeros((len(qids), 0))
+        start = np.full(len(qids), -np.inf)
+        if known.shape[1:] == matrix.shape[1:]:
+            near = (queries @ known.T) / (known_norms[None, :] * query_norms[:, None])
+            start = floors(near, qids, known_ids, k) - 1e-12
+        alone = len(np.unique(ids)) == len(ids)
+
+        def distinct(found: np.ndarray, scores: np.ndarray) -> np.ndarray:
+            return np.arange(len(found)) if alone else once(found, scores)
+
         out = ([], [], [])
         for i, qid in enumerate(qids.tolist()):
             planes = packed((levels[i] >> np.arange(PLANES)[:, None] & 1).astype(bool))
@@ -75,23 +86,18 @@ def binary_search(vectors: DataFrame, query: Column, *, k: int = 5, seed: int =
                 continue
 
             q = queries[i]
-            own_norm = np.sqrt((q * q).sum())
+            own_norm = query_norms[i]
 
             def exact(at: np.ndarray, q: np.ndarray = q, own_norm: float = own_norm) -> np.ndarray:
                 return (matrix[at] * q).sum(1) / (norms[at] * own_norm)
 
-            kth, sure = -np.inf, known_ids[:0]
-            if known.shape[1:] == q.shape and (first := known_ids != qid).sum() >= k:
-                held = (known[first] @ q) / (known_norms[first] * own_norm)
-                single = once(known_ids[first], held)
-                if len(single) >= k:
-                    kth = np.partition(held[single], -k)[-k] - 1e-12
-                    sure = known_ids[first][held >= kth]
+            kth = start[i]
+            sure = known_ids[(near[i] >= kth) & (known_ids != qid)] if kth > -np.inf else known_ids[:0]
             n = min(2 * k, others)
             while kth == -np.inf:
                 tried = np.argpartition(-cosine, n - 1)[:n]
                 best = exact(tried)
-                best = best[once(ids[tried], best)]
+                best = best[distinct(ids[tried], best)]
                 if len(best) >= k or n == others:
                     kth = np.sort(best)[-min(k, len(best))]
                 n = min(2 * n, others)
@@ -99,14 +105,14 @@ def binary_search(vectors: DataFrame, query: Column, *, k: int = 5, seed: int =
             if len(chosen) > 8 * k:  # the likeliest ones first may raise the bound
                 tried = chosen[np.argpartition(-cosine[chosen], 4 * k)[: 4 * k]]
                 best = exact(tried)
-                best = best[once(ids[tried], best)]
+                best = best[distinct(ids[tried], best)]
                 if len(best) >= k and (high := np.partition(best, -k)[-k]) > kth:
                     chosen = chosen[(cosine + error)[chosen] >= high]
                     chosen = np.union1d(chosen, tried)
             if len(sure):  # what the bound comes from is found at any rate, so there are k at least
                 chosen = np.union1d(chosen, np.flatnonzero(np.isin(ids, sure) & (ids != qid)))
             scores = exact(chosen)
-            single = once(ids[chosen], scores)
+            single = distinct(ids[chosen], scores)
             chosen, scores = chosen[single], scores[single]
             top = np.lexsort((ids[chosen], -scores))[:k]
             out[0].extend([qid] * len(top))

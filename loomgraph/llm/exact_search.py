@@ -3,8 +3,8 @@
 Each candidate has a table row: its distances to many pivots. For a query the
 largest gap |d(query, pivot) - d(candidate, pivot)| is a lower bound of their
 distance, and so, the norms known, an upper bound of their inner product.
-Candidates are evaluated in the order of this bound until it falls below the
-k-th best score, which ends the search exactly.
+Candidates are evaluated in the order of this bound, the first few and then all up
+to where it falls below the k-th best score, which ends the search exactly.
 
 The search runs block by block. A query's k-th best score among the sampled vectors,
 which are rows of the table, bounds its k-th best of all from below, so that each
@@ -17,10 +17,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.vector_blocks import best_pairs, once, sample, usable
+from loomgraph.llm.vector_blocks import best_pairs, floors, once, sample, usable
 
-#: Vectors the pivots and first bounds come from (a bounded sample; results don't depend on it), and candidates evaluated at once.
-PIVOT_SAMPLE, STEP = 512, 256
+#: Vectors the pivots and first bounds come from (a bounded sample; results don't depend on it), and candidates evaluated first.
+PIVOT_SAMPLE, STEP = 512, 64
 
 
 def pivots(vectors: np.ndarray, n: int) -> np.ndarray:
@@ -49,44 +49,53 @@ def exact_search(vectors: DataFrame, query: Column, *, k: int = 5, scale: float
         table = np.zeros((len(m), 1)) if m.shape[1] != own.shape[1] else np.stack([np.linalg.norm(m - p, axis=1) for p in own], 1)
         return [(m * m).sum(1), table]
 
-    def products(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
+    def products(rows: np.ndarray, q: np.ndarray, small: bool) -> np.ndarray:
         """Inner products of whole numbers, exactly: in doubles where no sum leaves their whole numbers, else in integers of any size."""
-        if rows.size == 0 or rows.shape[1] * float(np.abs(rows).max()) * float(np.abs(q).max()) < 2.0**53:
+        if small:
             return (rows @ q).astype(np.int64)
         full = [sum(int(x) * int(y) for x, y in zip(row, q)) for row in rows]
         return np.array([min(max(x, -(2**63)), 2**63 - 1) for x in full], np.int64)
 
     def search(qids, queries, q_arrays, ids, matrix, arrays):
         norms, table = arrays[0].ravel(), np.ascontiguousarray(arrays[1].T)
+        single = len(np.unique(ids)) == len(ids)
+
+        def best(found: np.ndarray, scores: np.ndarray) -> np.ndarray:
+            return scores if single else scores[once(found, scores)]
+
+        with np.errstate(all="ignore"):
+            top = np.abs(queries).max() * matrix.shape[1]
+            small = bool(top * max(np.abs(matrix).max(), np.abs(known).max(initial=0)) < 2.0**53)
+            start = np.full(len(qids), -np.inf)
+            if small and known.shape[1:] == matrix.shape[1:]:
+                start = floors(queries @ known.T, qids, known_ids, k)
         out = ([], [], [])
-        fits = known.shape[1:] == matrix.shape[1:]
         for i, qid in enumerate(qids.tolist()):
-            q = queries[i]
-            floor = None
-            if fits and (first := known_ids != qid).sum() >= k:
-                held = products(known[first], q)
-                single = once(known_ids[first], held)
-                if len(single) >= k:
-                    floor = np.partition(held[single], -k)[-k]
+            q, kth = queries[i], start[i]
             with np.errstate(all="ignore"):
                 gap = np.abs(table - q_arrays[1][i][:, None]).max(0)
                 bound = (norms + q_arrays[0][i, 0] - gap * gap) / 2
                 bound += 1e-9 * (norms + q_arrays[0][i, 0]) + 1e-6  # what rounding may have taken
             bound[np.isnan(bound)] = np.inf  # out of the doubles' range: no bound
-            open_ = np.flatnonzero((ids != qid) if floor is None else (ids != qid) & (bound >= float(floor) * (1 - np.sign(floor) * 1e-15)))
-            order = open_[np.argsort(-bound[open_], kind="stable")]
-            scores, kth, at = np.zeros(0, np.int64), floor, 0
-            while at < len(order) and (kth is None or bound[order[at]] >= kth):
-                scores = np.concatenate([scores, products(matrix[order[at : at + STEP]], q)])
-                at += STEP
-                best = scores[once(ids[order[: len(scores)]], scores)]
-                if len(best) >= k and (kth is None or np.partition(best, -k)[-k] > kth):
-                    kth = np.partition(best, -k)[-k]
-            keep = scores >= kth if kth is not None else np.ones(len(scores), bool)
-            found, scores = ids[order[: len(scores)]][keep], scores[keep]
-            single = once(found, scores)
-            found, scores = found[single], scores[single]
-            top = np.lexsort((found, -scores))[:k]
+            bound[ids == qid] = -np.inf
+            left = np.flatnonzero((bound >= kth) & (bound > -np.inf))
+            if len(left) > 2 * STEP:
+                split = np.argpartition(-bound[left], STEP)
+                first, left = left[split[:STEP]], left[split[STEP:]]
+                scores = products(matrix[first], q, small)
+                held = best(ids[first], scores)
+                if len(held) >= k:
+                    kth = max(kth, np.partition(held, -k)[-k])
+                left = left[bound[left] >= kth]
+                found, scores = np.concatenate([first, left]), np.concatenate([scores, products(matrix[left], q, small)])
+            else:
+                found, scores = left, products(matrix[left], q, small)
+            keep = scores >= kth
+            found, scores = ids[found[keep]], scores[keep]
+            if not single:
+                own_rows = once(found, scores)
+                found, scores = found[own_rows], scores[own_rows]
+            top = np.lexsort((found, -scores))[:k] if len(scores) > 1 else np.arange(len(scores))
             out[0].extend([qid] * len(top))
             out[1].extend(found[top].tolist())
             out[2].extend(scores[top].tolist())

@@ -22,13 +22,13 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 
 def sample(vectors: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """At most ``most`` rows, by the order of a hash of the id: ids, and vectors of the commonest length among them."""
+    """At most ``most`` rows, by the order of a hash of the id: ids, one row each, and vectors of the commonest length among them."""
     rows = vectors.orderBy(F.xxhash64("_id"), "_id").select("_id", "_v").limit(most).collect()
     if not rows:
         return np.zeros(0, np.int64), np.zeros((0, 0))
     sizes = [len(r[1]) for r in rows]
     size = max(set(sizes), key=lambda n: (sizes.count(n), n))
-    kept = [r for r in rows if len(r[1]) == size]
+    kept = list({r[0]: r for r in rows if len(r[1]) == size}.values())
     return np.array([r[0] for r in kept], np.int64), np.array([r[1] for r in kept])
 
 
@@ -39,6 +39,12 @@ def once(ids: np.ndarray, scores: np.ndarray) -> np.ndarray:
     return np.array(sorted(dict(zip(zip(ids.tolist(), scores.tolist()), range(len(ids)))).values()), np.int64)
 
 
+def floors(scores: np.ndarray, qids: np.ndarray, known_ids: np.ndarray, k: int) -> np.ndarray:
+    """Of each query (rows of ``scores``) the k-th best among known rows of different ids, its own apart; -inf where there are fewer."""
+    held = np.where(qids[:, None] == known_ids[None, :], -np.inf, scores)
+    return np.partition(held, -k, axis=1)[:, -k] if held.shape[1] >= k else np.full(len(qids), -np.inf)
+
+
 def best_pairs(vectors: DataFrame, query: Column, k: int, prepare: Callable[[np.ndarray], list[np.ndarray]], search: Callable[..., tuple[np.ndarray, np.ndarray, np.ndarray]], score: str) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` best of all candidates for each row where ``query`` holds.
 
