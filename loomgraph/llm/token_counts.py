@@ -10,14 +10,19 @@ are compiled when first met, many at a time in numpy, and many words walk in ste
 
 No entry holds a space after another character, so a word's first space leads to
 the same state from anywhere. A chunk of a long text therefore maps every state
-to one exit state after its first word start; such maps compose, in a tree, into
-the map of the whole text. Whole words are remembered as single transitions.
+to one exit state after its first word start, and has one count between its first
+and last word start; such maps compose, in a tree, into the map of the whole text.
+Whole words are remembered as single transitions. A long word is cut into chunks
+too: each has a map from entry states to exit states and counts. The chunks walk
+in step, first from where a few characters before each lead from the start, then
+from the exits met before it, until no exit is missing among the next entries;
+the maps then compose by a scan in a tree.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -34,8 +39,10 @@ BATCH_CHARS = 1 << 22
 #: Words and states a worker remembers before it starts again (speed only, no result depends on them).
 WORDS_KEPT = 600_000
 STATES_KEPT = 600_000
-#: Words longer than this walk alone, not in step with others.
-LONG_WORD = 96
+#: Bounds what the remembered words may hold, in characters (speed only).
+CHARS_KEPT = 1 << 25
+#: Words longer than this are cut into chunks of so many characters, a block of chunks at a time; a chunk's first entry is guessed from so many characters before it (speed only).
+LONG_WORD, STEP_CHARS, BLOCK_CHARS, GUESS_CHARS = 96, 256, 1 << 18, 32
 DEEP = 17  # one more than the characters of the longest entry
 FREE, NONE = -2, -1  # no entry in progress began there; one did, at a start or behind a character of no entry
 
@@ -185,14 +192,30 @@ class Transducer:
             left, right = np.where(undo_left, self.split[left, 1], left), np.where(undo_left, right, self.split[right, 0])
         return ok
 
-    def _reset(self) -> None:
-        """Forgets all states but the start."""
+    def _reset(self, keep: int = 0) -> int:
+        """Forgets all states but the start and ``keep``, whose new number is returned."""
+        kept = [x[keep : keep + 1].copy() for x in (self.node, self.in_word, self.token, self.count)] if keep else []
+        self.states = 0
         self.node, self.in_word = np.zeros(1, np.int64), np.zeros(1, bool)
         self.token, self.count = np.full((1, DEEP), FREE, np.int32), np.zeros((1, DEEP), np.int16)
         self.token[0, 0] = NONE
+        self.states = 1
         self.ids: dict[int, int] = {}
         self.moves = Table()
         self.mix = np.random.default_rng(7).integers(1, 1 << 62, 2 * DEEP + 2, np.int64) | 1
+        return int(self._store(*kept)[0]) if keep else 0
+
+    def _store(self, *columns: np.ndarray) -> np.ndarray:
+        """Numbers of new states: node, in_word, token, count."""
+        begin, end = self.states, self.states + len(columns[0])
+        for name, new in zip(("node", "in_word", "token", "count"), columns, strict=True):
+            old = getattr(self, name)
+            if end > len(old):
+                old = np.concatenate([old, np.zeros((max(end, 2 * len(old)) - len(old), *old.shape[1:]), old.dtype)])
+                setattr(self, name, old)
+            old[begin:end] = new
+        self.states = end
+        return np.arange(begin, end)
 
     def _compile_moves(self, keys: np.ndarray) -> np.ndarray:
         """Transitions of (state, character) keys: next state and change, packed as in ``moves``."""
@@ -228,25 +251,26 @@ class Transducer:
             marks = (np.concatenate([to[:, None], ~space[:, None], token, count], 1) * self.mix).sum(1)
             marks ^= marks >> 29
         fresh: list[int] = []
-        ids, base = np.zeros(len(keys), np.int64), len(self.node)
+        ids, base = np.zeros(len(keys), np.int64), self.states
         for i, mark in enumerate(marks.tolist()):
             found = self.ids.get(mark)
             if found is None:
                 found = self.ids[mark] = base + len(fresh)
                 fresh.append(i)
             ids[i] = found
-        if fresh:
-            self.node, self.in_word = np.concatenate([self.node, to[fresh]]), np.concatenate([self.in_word, ~space[fresh]])
-            self.token, self.count = np.concatenate([self.token, token[fresh].astype(np.int32)]), np.concatenate([self.count, count[fresh].astype(np.int16)])
+        self._store(to[fresh], ~space[fresh], token[fresh], count[fresh])
+        same = (self.node[ids] == to) & (self.in_word[ids] == ~space) & (self.token[ids] == token).all(1) & (self.count[ids] == count).all(1)
+        if not same.all():  # two states of one mark: the second gets a number of its own
+            ids[~same] = self._store(to[~same], ~space[~same], token[~same], count[~same])
         return ids << 8 | (change + 128)
 
-    def walk(self, words: list[str]) -> np.ndarray:
-        """The counts of words that walk in step from the start."""
+    def walk(self, words: list[str], entry: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Exit states and counts of words or chunks that walk in step, from the start or from ``entry``."""
         order = sorted(range(len(words)), key=lambda i: -len(words[i]))
         size = np.array([len(words[i]) for i in order])
         chars = np.frombuffer("".join([words[i] for i in order]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         begin = np.cumsum(size) - size
-        state, total = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        state, total = np.zeros(len(words), np.int64) if entry is None else entry[order], np.zeros(len(words), np.int64)
         for t in range(size[0] if len(size) else 0):
             n = np.searchsorted(-size, -t)  # those longer than t
             keys = state[:n] << 21 | chars[begin[:n] + t]
@@ -258,36 +282,64 @@ class Transducer:
                 got[new] = self.moves.get(keys[new])
             state[:n] = got >> 8
             total[:n] += (got & 255) - 128
-        out = np.zeros(len(words), np.int64)
-        out[order] = total
-        return out
+        exits, counts = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        exits[order], counts[order] = state, total
+        return exits, counts
+
+    def through(self, spans: list[tuple[str, int, int]], entry: list[int]) -> list[tuple[int, int]]:
+        """Exit state and count of each span (word, begin, end) from its entry, by maps of its chunks."""
+        rows = [[word[i : min(i + STEP_CHARS, end)] for i in range(begin, end, STEP_CHARS)] for word, begin, end in spans]
+        before = [word[max(0, i - GUESS_CHARS) : i] for word, begin, end in spans for i in range(begin + STEP_CHARS, end, STEP_CHARS)]
+        guess = iter(self.walk(before)[0].tolist())
+        asked = {(c, next(guess) if i else first) for row, first in zip(rows, entry, strict=True) for i, c in enumerate(row)}
+        links = {pair for row in rows for pair in zip(row, row[1:])}
+        maps: dict[str, dict[int, tuple[int, int]]] = {c: {} for row in rows for c in row}
+        while asked:
+            ask = list(asked)
+            exits, counts = self.walk([c for c, _ in ask], np.array([s for _, s in ask]))
+            for (c, s), x, n in zip(ask, exits.tolist(), counts.tolist(), strict=True):
+                maps[c][s] = x, n
+            asked = {(b, x) for a, b in links for x, _ in maps[a].values() if x not in maps[b]}
+        return [tree([maps[c] for c in row], self.compose)[first] for row, first in zip(rows, entry, strict=True)]
+
+    @staticmethod
+    def compose(a: dict[int, tuple[int, int]], b: dict[int, tuple[int, int]]) -> dict[int, tuple[int, int]]:
+        """The map of ``a`` and then ``b``, which has every exit of ``a`` among its entries."""
+        return {s: (b[x][0], n + b[x][1]) for s, (x, n) in a.items()}
 
-    def walk_alone(self, word: str) -> int:
-        """The count of one word of any length: the same machine, only what it needs of each state."""
-        tokens, counts, node = [NONE], [0], 0
-        for c in word:
-            got = -1
-            while (got := int(self.edges.get(np.array([node << 21 | ord(c)]))[0])) < 0 and node:
-                node = int(self.fail[node])
-            node = max(got, 0)
-            for piece in self.ends[node].tolist():
-                if piece < 0:
-                    node = 0
-                    tokens.append(NONE)
-                    counts.append(counts[-1] + len(c.encode("utf-8", "surrogatepass")))
-                    break
-                start = len(tokens) - len(self.names[piece])
-                if start >= 0 and self.one_fits(tokens[start], piece):
-                    tokens.append(piece)
-                    counts.append(counts[start] + 1)
-                    break
-            else:
-                raise AssertionError("an entry's last character is no entry")
-        return counts[-1]
-
-    @lru_cache(1 << 16)  # noqa: B019  the workers keep one machine
-    def one_fits(self, before: int, piece: int) -> bool:
-        return bool(self.fits(np.array([before]), np.array([piece]))[0])
+    def walk_long(self, words: list[str]) -> list[int]:
+        """The counts of words of any length: many together, or one a block at a time."""
+        out: list[int] = []
+        part: list[tuple[str, int, int]] = []
+        for k, word in enumerate(words):
+            state = total = begin = 0
+            while len(word) - begin > BLOCK_CHARS:
+                state = self._reset(state) if self.states >= STATES_KEPT else state
+                [(state, n)] = self.through([(word, begin, begin + BLOCK_CHARS)], [state])
+                total, begin = total + n, begin + BLOCK_CHARS
+            if begin:
+                [(_, n)] = self.through([(word, begin, len(word))], [state])
+                out += self._together(part)
+                out.append(total + n)
+                part = []
+                continue
+            part.append((word, 0, len(word)))
+            if k + 1 == len(words) or sum(end for _, _, end in part[-1024:]) >= BLOCK_CHARS or len(part) >= 1024:
+                out += self._together(part)
+                part = []
+        return out + self._together(part)
+
+    def _together(self, part: list[tuple[str, int, int]]) -> list[int]:
+        if part and self.states >= STATES_KEPT:
+            self._reset()
+        return [n for _, n in self.through(part, [0] * len(part))] if part else []
+
+
+def tree(maps: list, compose: Callable):
+    """The maps composed in order, neighbours first."""
+    while len(maps) > 1:
+        maps = [compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+    return maps[0]
 
 
 class Counter:
@@ -295,26 +347,32 @@ class Counter:
 
     def __init__(self, model_path: str):
         model = read_model(model_path)
-        if model.model_type != BPE or model.charsmap or not model.escape_whitespaces or model.remove_extra_whitespaces or model.whitespace_suffix or not model.byte_fallback:
+        if model.model_type != BPE or model.charsmap or not model.add_dummy_prefix or not model.escape_whitespaces or model.remove_extra_whitespaces or model.whitespace_suffix or not model.byte_fallback:
             raise ValueError("a byte-pair model with byte fallback and no normalisation is needed")
         if any(kind not in (1, 2, 3, 6) for _, _, kind in model.pieces):
             raise ValueError("user-defined and unused pieces aren't supported")
-        self.prefix = " " if model.add_dummy_prefix else ""
         self.machine = Transducer({p.replace(SPACE, " "): s for p, s, kind in model.pieces if kind == NORMAL})
         self.words: dict[str, int] = {}
+        self.chars = 0
 
     def learn(self, words: set[str]) -> None:
         """Remembers the counts of words, written without one leading space."""
+        if len(self.words) >= WORDS_KEPT or self.chars >= CHARS_KEPT:
+            self.words.clear()
+            self.chars = 0
         new = [" " + w for w in words.difference(self.words)]
-        if len(self.machine.node) >= STATES_KEPT:
+        self.chars += sum(map(len, new))
+        if self.machine.states >= STATES_KEPT:
             self.machine._reset()
-        short = [w for w in new if len(w) <= LONG_WORD]
+        short, long = [w for w in new if len(w) <= LONG_WORD], [w for w in new if len(w) > LONG_WORD]
         for i in range(0, len(short), 1 << 16):
             part = short[i : i + (1 << 16)]
-            self.words.update(zip([w[1:] for w in part], self.machine.walk(part).tolist(), strict=True))
-        for w in new:
-            if len(w) > LONG_WORD:
-                self.words[w[1:]] = self.machine.walk_alone(w)
+            self.words.update(zip([w[1:] for w in part], self.machine.walk(part)[1].tolist(), strict=True))
+        self.words.update(zip([w[1:] for w in long], self.machine.walk_long(long), strict=True))
+
+    def count(self, words: list[str]) -> int:
+        self.learn(set(words))
+        return sum(map(self.words.__getitem__, words))
 
     @staticmethod
     def split(text: str) -> list[str]:
@@ -323,44 +381,36 @@ class Counter:
             return []
         return [w[1:] for w in re.findall(" +[^ ]*", text)] if "  " in text else text[1:].split(" ")
 
-    @staticmethod
-    def chunk_map(chunk: str) -> tuple[str, list[str], str | None]:
-        """(head, middle, path): any entry state runs over head; from the first word start on, middle's words are passed in full; the exit state is where path, the last word so far, leads from the start (None: no word starts here)."""
+    def chunk_map(self, chunk: str) -> tuple[str, int, str | None]:
+        """(head, count, path): any entry state runs over head; count is that of the words between the first and the last word start; the exit state is where path, the last word so far, leads from the start (None: no word starts here)."""
         starts = [m.start() for m in re.finditer("(?<=[^ ]) ", chunk)]
         if not starts:
-            return chunk, [], None
-        return chunk[: starts[0]], Counter.split(chunk[starts[0] : starts[-1]]), chunk[starts[-1] :]
+            return chunk, 0, None
+        return chunk[: starts[0]], self.count(self.split(chunk[starts[0] : starts[-1]])), chunk[starts[-1] :]
 
-    @staticmethod
-    def compose(a: tuple, b: tuple) -> tuple:
+    def compose(self, a: tuple[str, int, str | None], b: tuple[str, int, str | None]) -> tuple[str, int, str | None]:
         if a[2] is None:
             return a[0] + b[0], b[1], b[2]
         if b[2] is None:
             return a[0], a[1], a[2] + b[0]
-        return a[0], a[1] + Counter.split(a[2] + b[0]) + b[1], b[2]
-
-    def words_of(self, text: str) -> list[str]:
-        text = self.prefix + text.replace(SPACE, " ") if text else ""
-        if len(text) <= CHUNK_CHARS:
-            return self.split(text)
-        maps = [self.chunk_map(text[i : i + CHUNK_CHARS]) for i in range(0, len(text), CHUNK_CHARS)]
-        while len(maps) > 1:
-            maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        head, middle, path = maps[0]
-        return self.split(head) + middle + self.split(path or "")
+        return a[0], a[1] + self.count(self.split(a[2] + b[0])) + b[1], b[2]
+
+    def long_count(self, text: str) -> int:
+        """The count of a text of any length, by maps of its chunks."""
+        head, n, path = tree([self.chunk_map(text[i : i + CHUNK_CHARS]) for i in range(0, len(text), CHUNK_CHARS)], self.compose)
+        return n + self.count(self.split(head)) + self.count(self.split(path or ""))
 
     def counts(self, texts: list[str]) -> list[int]:
         out: list[int] = []
-        part: list[list[str]] = []
+        part: list[list[str] | int] = []
         chars = 0
         for i, text in enumerate(texts):
-            part.append(self.words_of(text))
+            text = " " + text.replace(SPACE, " ") if text else ""
+            part.append(self.long_count(text) if len(text) > CHUNK_CHARS else self.split(text))
             chars += len(text)
             if chars >= BATCH_CHARS or i + 1 == len(texts):
-                if len(self.words) >= WORDS_KEPT:
-                    self.words.clear()
-                self.learn(set().union(*part))
-                out += [sum(map(self.words.__getitem__, words)) for words in part]
+                self.learn(set().union(*[x for x in part if not isinstance(x, int)]))
+                out += [x if isinstance(x, int) else sum(map(self.words.__getitem__, x)) for x in part]
                 part, chars = [], 0
         return out
 

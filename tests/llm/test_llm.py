@@ -87,6 +87,25 @@ def test_token_counts(spark, truth, monkeypatch):
         assert counter.counts(texts[:200]) == want[:200]
 
 
+@pytest.mark.parametrize("states, block", [(600_000, 1 << 18), (2_000, 1 << 11)])
+def test_token_counts_long_words(truth, monkeypatch, states, block):
+    monkeypatch.setattr("loomgraph.llm.token_counts.STATES_KEPT", states)
+    monkeypatch.setattr("loomgraph.llm.token_counts.BLOCK_CHARS", block)
+    rng = random.Random(5)
+    word = lambda letters, n: "".join(rng.choices(letters, k=n))
+    texts = ["=" * 20_001, "ab" * 9_000, word("etaoin", 30_000), word("一丁七é😀<", 9_000), " " * 5_000 + "x", " ".join(word("abXY09+/", n) for n in (3, 96, 97, 98, 255, 257, 5_000, 97))]
+    counter = Counter(queries.model_path())
+    want = [len(x) for x in truth.encode(texts)]
+    assert counter.counts(texts) == want and [counter.counts([t])[0] for t in texts] == want
+
+
+def test_token_counts_states_of_one_mark(truth):
+    counter = Counter(queries.model_path())
+    counter.machine.mix[:] = 0
+    texts = ["one mark for all states", "日本 " + "a1B2" * 60]
+    assert counter.counts(texts) == [len(x) for x in truth.encode(texts)]
+
+
 def test_token_counts_rows(spark):
     got = {r["doc_id"]: (r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in token_counts(docs(spark, [(1, None), (2, ""), (3, "é a")]), queries.model_path()).collect()}
     assert got[1] == got[2] == (0, 0, False) and got[3][0] == 4
