@@ -36,14 +36,17 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit of every row; a null text is empty, repeated rows are counted each."""
     return token_counts(table(spark, sf_dir, "documents"), model_path()).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score of the 5 highest inner products; rows of equal id and vector count once, bad vectors take no part, an empty table has no rows."""
     return exact_search(table(spark, sf_dir, "embeddings"), F.expr("_id % 50 = 0"))
 
 
 def op4_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score of the 5 nearest by cosine; rows of equal id and vector count once, bad or zero vectors take no part."""
     return binary_search(table(spark, sf_dir, "embeddings"), F.expr("_id % 50 = 0"))
 
 
@@ -53,24 +56,29 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every row; null and empty texts get the score of no words, long texts are scored a part at a time."""
     docs = table(spark, sf_dir, "documents")
     return toxicity(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every row, read back from the archives; null html is an empty payload."""
     return warc_round_trip(table(spark, sf_dir, "pages"))
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target, taken of every row; null and repeated ids are rows of their own, null is a source."""
     return source_mix(table(spark, sf_dir, "documents"))
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every row; a null text has no spans."""
     found = secret_scan(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.encode("base_spans", "UTF-8"), 256).alias("base_sha256"), "spans")
 
 
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint, component_id of every row; texts without words have fingerprint zero and are linked like any other."""
     return simhash_dedup(table(spark, sf_dir, "documents"))
 
 

@@ -1,10 +1,11 @@
 """Secret scans: fixed patterns, and a battery of randomness tests for anything else.
 
-Candidates are long runs of one encoding's characters: hexadecimal, base32 or
-base64. A candidate must look random in its own encoding (chi-squared uniformity
-over the alphabet, runs above and below the middle, serial correlation, combined)
-and must not look like text: its likelihood ratio of uniform against a fixed
-text-like letter model is an e-value, which grows with length. Of a document's
+Candidates are long runs of one encoding's characters: hexadecimal, base32, base36
+of one case, base58, base62 or base64. A candidate must look random in its own
+encoding, the smallest that holds it (chi-squared uniformity over the alphabet, the
+share of digits, runs above and below the middle, serial correlation, combined)
+and must not look like text: its likelihood ratio of uniform against fixed
+letter models of plain and of all-capitals text is an e-value, which grows with length. Of a document's
 candidates those are taken that the e-value form of the step-up procedure accepts
 at the false-discovery level.
 """
@@ -30,6 +31,10 @@ ALPHABETS = {
     "hex": "0123456789abcdef",
     "HEX": "0123456789ABCDEF",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+    "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
+    "BASE36": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+    "base58": "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz",
+    "base62": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
 }
@@ -50,8 +55,16 @@ def _normal_tail(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
 
+def _share(k: int, n: int, p: float) -> float:
+    """Two-sided p-value of ``k`` of ``n`` at rate ``p``: exact binomial tails, normal ones for long texts."""
+    if n > 512:
+        return _normal_tail((k - n * p) / math.sqrt(n * p * (1 - p)))
+    mass = [math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(n + 1)]
+    return min(1.0, 2 * min(sum(mass[: k + 1]), sum(mass[k:])))
+
+
 def randomness(text: str, alphabet: str) -> float:
-    """Combined p-value of the battery, small where ``text`` isn't a uniform draw from ``alphabet``: the least of three, times three."""
+    """Combined p-value of the battery, small where ``text`` isn't a uniform draw from ``alphabet``: the least of four, times four."""
     n, a = len(text), len(alphabet)
     value = [alphabet.index(c) for c in text]
     counts = [0] * a
@@ -75,18 +88,23 @@ def randomness(text: str, alphabet: str) -> float:
     centre = sum(value) / n
     total = sum((v - centre) ** 2 for v in value)
     p_serial = _normal_tail(math.sqrt(n) * sum((x - centre) * (y - centre) for x, y in zip(value, value[1:])) / total) if total else 0.0
-    return min(1.0, 3 * min(p_chi, p_runs, p_serial))
+    p_digits = _share(sum(c.isdigit() for c in text), n, sum(c.isdigit() for c in alphabet) / a)
+    return min(1.0, 4 * min(p_chi, p_runs, p_serial, p_digits))
 
 
 def log_evidence(text: str, size: int) -> float:
-    """Log of the likelihood ratio of a uniform draw against the text model."""
+    """Log of the likelihood ratio of a uniform draw against text, plain or in capitals, whichever fits better, less what the choice among the alphabets is worth."""
     rest = {"upper": 26, "digit": 10, "other": 4}
-    out = 0.0
-    for c in text:
-        kind = "lower" if "a" <= c <= "z" else "upper" if "A" <= c <= "Z" else "digit" if c.isdigit() else "other"
-        model = CLASSES["lower"] * LETTERS[c] / 100 if kind == "lower" else CLASSES[kind] / rest[kind]
-        out -= math.log(size * model)
-    return out
+
+    def ratio(t: str) -> float:
+        out = 0.0
+        for c in t:
+            kind = "lower" if "a" <= c <= "z" else "upper" if "A" <= c <= "Z" else "digit" if c.isdigit() else "other"
+            model = CLASSES["lower"] * LETTERS[c] / 100 if kind == "lower" else CLASSES[kind] / rest[kind]
+            out -= math.log(size * model)
+        return out
+
+    return min(ratio(text), ratio(text.swapcase())) - math.log(len(ALPHABETS))
 
 
 def battery(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -120,7 +138,7 @@ def scan(text: str | None) -> dict:
 
 
 def secret_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, n_assign, n_access, n_hex, n_random, base_spans, spans)`` of every row; spans as ``kind:start:end`` in code points, joined by commas. Null text has no spans. No shuffle."""
+    """``(id, n_assign, n_access, n_hex, n_random, base_spans, spans)`` of every row; spans as ``kind:start:end`` in code points, joined by commas. Null and empty texts have no spans; rows may repeat, ids too or be null, each row is scanned by itself. A text is scanned whole in one task, in memory that grows with its length. No shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

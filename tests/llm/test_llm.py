@@ -14,7 +14,7 @@ from loomgraph.llm import queries
 from loomgraph.llm.binary_search import binary_search
 from loomgraph.llm.exact_search import exact_search
 from loomgraph.llm.line_dedup import find_repeats, line_dedup
-from loomgraph.llm.secret_scan import scan, secret_scan
+from loomgraph.llm.secret_scan import ALPHABETS, scan, secret_scan
 from loomgraph.llm.sentencepiece_codec import encode_decode, sentencepiece_codec
 from loomgraph.llm.simhash_dedup import codewords, fingerprint, fuzzy_keys, links, near_codewords, simhash_dedup
 from loomgraph.llm.source_mix import source_mix
@@ -275,6 +275,77 @@ def test_secret_scan(spark):
     assert (got[0]["spans"], got[1]["n_hex"], got[2]["n_assign"]) == ("", 0, 1)
 
 
+def base_spans_walked(text):
+    """The base spans, found by walking characters."""
+    value, digits, capitals = (set(c) for c in ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-", "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+    folded = "".join(c.lower() if c in capitals else c for c in text)
+
+    def run(at, chars):
+        while at < len(text) and text[at] in chars:
+            at += 1
+        return at
+
+    def assign(i):
+        at = next((i + len(w) for w in ("password", "passwd", "secret", "token", "apikey", "api_key") if folded.startswith(w, i)), None)
+        if at is None:
+            return None
+        at = run(at + (text[at : at + 1] in ("'", '"')), " ")
+        if text[at : at + 1] not in (":", "="):
+            return None
+        at = run(at + 1, " ")
+        at += text[at : at + 1] in ("'", '"')
+        end = run(at, value)
+        return (end, end - at >= 6) if end > at else None
+
+    def access(i):
+        end = run(i + 4, capitals | digits)
+        return (end, end - i >= 20) if text.startswith("AKIA", i) and end > i + 4 else None
+
+    def hexes(i):
+        end = run(i, digits | set("abcdef"))
+        return (end, end - i >= 24) if end > i else None
+
+    spans = []
+    for order, (kind, match) in enumerate((("assign", assign), ("access", access), ("hex", hexes))):
+        i = 0
+        while i < len(text):
+            if (found := match(i)) is None:
+                i += 1
+                continue
+            if found[1]:
+                spans.append((i, order, f"{kind}:{i}:{found[0]}"))
+            i = found[0]
+    return ",".join(x[2] for x in sorted(spans))
+
+
+def test_secret_base_spans_brute(spark, tmp_path):
+    rng = random.Random(8)
+    pieces = ["password", "PassWD", "secret", "token", "api_key", "APIkey", "'", '"', " ", "=", ":", "  ", "AKIA", "0123456789abcdef", "ABCDEFGH12345678", "a/b+c_d.", "é", "😀", "\n", "ſecret", "toKen", "-", "x"]
+    texts = ["".join(rng.choices(pieces, k=rng.randrange(1, 40))) for _ in range(400)]
+    texts += [None, "", "no secrets here", "api_key: " + "k" * 300_000, "z " * 100_000 + "token='abcdef1'", *texts[:20]]
+    rows = [*enumerate(texts), (None, "secret=abcdef"), (None, None), (7, texts[7])]
+    docs(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op9_secret_scan(spark, str(tmp_path)).collect()
+    want = [(i, hashlib.sha256(base_spans_walked(t or "").encode()).hexdigest()) for i, t in rows]
+    assert sorted(((r["doc_id"], r["base_sha256"]) for r in got), key=str) == sorted(want, key=str)
+    assert all(set(filter(None, base_spans_walked(t or "").split(","))) <= set(r["spans"].split(",")) for i, t in rows if i is not None for r in got if r["doc_id"] == i)
+    assert secret_scan(docs(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("name", ALPHABETS)
+@pytest.mark.parametrize("n, least", [(20, 0.8), (32, 0.95), (64, 0.97), (256, 0.97)])
+def test_secret_recall_by_encoding(name, n, least):
+    rng = random.Random(n)
+    keys = ["".join(rng.choices(ALPHABETS[name], k=n)) for _ in range(200)]
+    hit = [any(s <= 4 and e >= 4 + n for _, s, e in scan(f"see {key} ok")["all"]) or scan(f"see {key} ok")["base"] != [] for key in keys]
+    assert sum(hit) >= least * len(keys)
+
+
+def test_secret_battery_leaves_names_alone():
+    names = ["img20240101123456789", "x20240101123456789012", "SECTION12OFTHEDOCUMENTS", "chapter2019120511300001", "internationalization2024guidelines", "the-quick-brown-fox-2024-jumps/over/the-lazy-dog", "THEQUICKBROWNFOX7JUMPSOVER", "/usr/local/lib/python3/dist-packages", "a" * 24 + "1", "CamelCaseIdentifierWithManyWords"]
+    assert [x for x in names if scan(f"a {x} b")["added"]] == []
+
+
 def test_fingerprint():
     import xxhash
 
