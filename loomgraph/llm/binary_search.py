@@ -13,7 +13,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame
 
-from loomgraph.llm.vector_blocks import best_pairs, floors, once, sample, usable
+from loomgraph.llm.vector_blocks import best_pairs, distinct, floors, once, sample, usable
 
 #: Bits of a query's components, standard deviations the error bound covers, and rows of which each query knows the exact cosines before it meets a block (a bounded sample that only saves work).
 PLANES, SIGMAS, KNOWN = 6, 3.0, 512
@@ -42,8 +42,8 @@ def binary_search(vectors: DataFrame, query: Column, *, k: int = 5, seed: int =
     empty or zero, or hold null or non-finite components, and rows with a null id take
     no part; other columns are left out. Rows that agree in id and score count once.
     """
-    some = usable(vectors, id_col, vec_col).where("exists(_v, x -> x != 0)")
-    known_ids, known = sample(some, KNOWN)
+    some, count = distinct(usable(vectors, id_col, vec_col).where("exists(_v, x -> x != 0)"))
+    known_ids, known = sample(some, count, KNOWN)
     known = even(known) if len(known) else known
     known_norms = np.sqrt((known * known).sum(1)) if len(known) else known
 
@@ -72,7 +72,7 @@ def binary_search(vectors: DataFrame, query: Column, *, k: int = 5, seed: int =
             start = floors(near, qids, known_ids, k) - 1e-12
         alone = len(np.unique(ids)) == len(ids)
 
-        def distinct(found: np.ndarray, scores: np.ndarray) -> np.ndarray:
+        def own_rows(found: np.ndarray, scores: np.ndarray) -> np.ndarray:
             return np.arange(len(found)) if alone else once(found, scores)
 
         out = ([], [], [])
@@ -97,7 +97,7 @@ def binary_search(vectors: DataFrame, query: Column, *, k: int = 5, seed: int =
             while kth == -np.inf:
                 tried = np.argpartition(-cosine, n - 1)[:n]
                 best = exact(tried)
-                best = best[distinct(ids[tried], best)]
+                best = best[own_rows(ids[tried], best)]
                 if len(best) >= k or n == others:
                     kth = np.sort(best)[-min(k, len(best))]
                 n = min(2 * n, others)
@@ -105,14 +105,14 @@ def binary_search(vectors: DataFrame, query: Column, *, k: int = 5, seed: int =
             if len(chosen) > 8 * k:  # the likeliest ones first may raise the bound
                 tried = chosen[np.argpartition(-cosine[chosen], 4 * k)[: 4 * k]]
                 best = exact(tried)
-                best = best[distinct(ids[tried], best)]
+                best = best[own_rows(ids[tried], best)]
                 if len(best) >= k and (high := np.partition(best, -k)[-k]) > kth:
                     chosen = chosen[(cosine + error)[chosen] >= high]
                     chosen = np.union1d(chosen, tried)
             if len(sure):  # what the bound comes from is found at any rate, so there are k at least
                 chosen = np.union1d(chosen, np.flatnonzero(np.isin(ids, sure) & (ids != qid)))
             scores = exact(chosen)
-            single = distinct(ids[chosen], scores)
+            single = own_rows(ids[chosen], scores)
             chosen, scores = chosen[single], scores[single]
             top = np.lexsort((ids[chosen], -scores))[:k]
             out[0].extend([qid] * len(top))
@@ -120,4 +120,4 @@ def binary_search(vectors: DataFrame, query: Column, *, k: int = 5, seed: int =
             out[2].extend(scores[top].tolist())
         return out
 
-    return best_pairs(some, query, k, prepare, search, "double")
+    return best_pairs(some, count, query, k, prepare, search, "double")

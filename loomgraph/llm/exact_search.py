@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.vector_blocks import best_pairs, floors, once, sample, usable
+from loomgraph.llm.vector_blocks import best_pairs, distinct, floors, once, sample, usable
 
 #: Vectors the pivots and first bounds come from (a bounded sample; results don't depend on it), and candidates evaluated first.
 PIVOT_SAMPLE, STEP = 512, 64
@@ -42,7 +42,8 @@ def exact_search(vectors: DataFrame, query: Column, *, k: int = 5, scale: float
     score count once. Components are whole numbers after scaling; products beyond 64 bits are held at its ends.
     """
     whole = usable(vectors, id_col, vec_col).withColumn("_v", F.expr(f"transform(_v, x -> cast(floor({float(scale)!r}D * x) AS double))"))
-    known_ids, known = sample(whole, PIVOT_SAMPLE)
+    whole, count = distinct(whole)
+    known_ids, known = sample(whole, count, PIVOT_SAMPLE)
     own = pivots(known, n_pivots)
 
     def prepare(m: np.ndarray) -> list[np.ndarray]:
@@ -101,4 +102,4 @@ def exact_search(vectors: DataFrame, query: Column, *, k: int = 5, scale: float
             out[2].extend(scores[top].tolist())
         return out
 
-    return best_pairs(whole, query, k, prepare, search, "bigint")
+    return best_pairs(whole, count, query, k, prepare, search, "bigint")

@@ -21,14 +21,30 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return v.where("_id IS NOT NULL AND _v IS NOT NULL AND size(_v) > 0 AND forall(_v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity'))")
 
 
-def sample(vectors: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """At most ``most`` rows, by the order of a hash of the id: ids, one row each, and vectors of the commonest length among them."""
-    rows = vectors.orderBy(F.xxhash64("_id"), "_id").select("_id", "_v").limit(most).collect()
+def distinct(vectors: DataFrame) -> tuple[DataFrame, int]:
+    """Rows of :func:`usable` that differ in id or vector, written in the shared folder, and their number."""
+    rows, _ = written(vectors.select("_id", "_v").dropDuplicates())
+    return rows, rows.count()
+
+
+def sample(vectors: DataFrame, count: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """At most ``most`` of ``count`` rows, by the order of a hash of the id: ids, one row each, and vectors of the commonest length among them.
+
+    Only rows below a limit of the hash are sorted, some twice as many as are wanted;
+    else every partition of the table would send the driver ``most`` rows of its own.
+    """
+    share = 2 * most / max(1, count)
+    while True:
+        low = vectors if share >= 1 else vectors.where(F.xxhash64("_id") < F.lit(int(share * 2.0**64) - 2**63))
+        rows = low.groupBy("_id").agg(F.min("_v").alias("_v")).orderBy(F.xxhash64("_id"), "_id").limit(most).collect()
+        if len(rows) == most or share >= 1:
+            break
+        share *= 2  # ids repeat: fewer of them lie below the limit
     if not rows:
         return np.zeros(0, np.int64), np.zeros((0, 0))
     sizes = [len(r[1]) for r in rows]
     size = max(set(sizes), key=lambda n: (sizes.count(n), n))
-    kept = list({r[0]: r for r in rows if len(r[1]) == size}.values())
+    kept = [r for r in rows if len(r[1]) == size]
     return np.array([r[0] for r in kept], np.int64), np.array([r[1] for r in kept])
 
 
@@ -45,8 +61,8 @@ def floors(scores: np.ndarray, qids: np.ndarray, known_ids: np.ndarray, k: int)
     return np.partition(held, -k, axis=1)[:, -k] if held.shape[1] >= k else np.full(len(qids), -np.inf)
 
 
-def best_pairs(vectors: DataFrame, query: Column, k: int, prepare: Callable[[np.ndarray], list[np.ndarray]], search: Callable[..., tuple[np.ndarray, np.ndarray, np.ndarray]], score: str) -> DataFrame:
-    """``(query_id, rank, vec_id, score)``: the ``k`` best of all candidates for each row where ``query`` holds.
+def best_pairs(vectors: DataFrame, count: int, query: Column, k: int, prepare: Callable[[np.ndarray], list[np.ndarray]], search: Callable[..., tuple[np.ndarray, np.ndarray, np.ndarray]], score: str) -> DataFrame:
+    """``(query_id, rank, vec_id, score)``: the ``k`` best of all candidates for each row where ``query`` holds; ``vectors`` and ``count`` as :func:`distinct` gives them.
 
     ``prepare(matrix)`` gives a block's index arrays, kept with it;
     ``search(query ids, queries, query arrays, ids, vectors, arrays)`` gives
@@ -54,8 +70,6 @@ def best_pairs(vectors: DataFrame, query: Column, k: int, prepare: Callable[[np.
     of all, each (id, score) counted once. Vectors compare with those of their length. Rows that agree in
     id and score count once; a query is never its own candidate.
     """
-    vectors, _ = written(vectors.select("_id", "_v").dropDuplicates())
-    count = vectors.count()
     n_blocks, n_queries = max(1, -(-count // BLOCK)), max(1, -(-count // (50 * BLOCK)))
 
     def packed(table: pa.Table) -> pa.Table:
@@ -90,6 +104,7 @@ def best_pairs(vectors: DataFrame, query: Column, k: int, prepare: Callable[[np.
                 q, c, s = search(*queries, *candidates)
                 yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(c, pa.int64()), pa.array(s)], names=["query_id", "vec_id", "score"])
 
-    found = asked.join(blocks, "block").mapInArrow(met, f"query_id bigint, vec_id bigint, score {score}").distinct()
+    # Spark takes the queries for as small as they are before they are repeated for every block, and might broadcast them.
+    found = asked.hint("merge").join(blocks, "block").mapInArrow(met, f"query_id bigint, vec_id bigint, score {score}").distinct()
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

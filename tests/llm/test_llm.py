@@ -529,3 +529,28 @@ def test_search_counts_copies_once(spark, search):
     for q in (0, 50):
         s = y @ y[q]
         assert {v for a, _, v in want if a == q} == {int(j) for j in [j for j in np.lexsort((np.arange(60), -s)) if j != q][:5]}
+
+
+@pytest.mark.parametrize("search", [exact_search, binary_search])
+def test_search_sends_the_driver_little(spark, search):
+    limit = spark.sparkContext._jsc.sc().conf()
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.enabled": "false", "spark.sql.files.maxPartitionBytes": "64k", "spark.sql.files.openCostInBytes": "64k"}
+    before = {k: spark.conf.get(k) for k in settings}
+    vectors = spark.range(0, 20_000, 1, 40).selectExpr("id AS vec_id", "transform(sequence(1, 32), i -> pmod(xxhash64(id, i), 1000) / 1000 - 0.5) AS embedding")
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        limit.set("spark.driver.maxResultSize", "1m")  # 512 rows of 40 partitions are 6 MB
+        assert search(vectors, F.expr("_id % 2000 = 0")).count() == 50
+    finally:
+        limit.remove("spark.driver.maxResultSize")
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_search_queries_are_not_broadcast(spark):
+    vectors = spark.range(0, 20_000, 1, 4).selectExpr("id AS vec_id", "transform(sequence(1, 8), i -> pmod(xxhash64(id, i), 1000) / 1000 - 0.5) AS embedding")
+    found = exact_search(vectors, F.expr("_id % 50 = 0"))
+    assert found.count() == 2000
+    found.collect()
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
