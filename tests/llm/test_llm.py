@@ -548,9 +548,10 @@ def test_search_sends_the_driver_little(spark, search):
             spark.conf.set(k, v)
 
 
-def test_search_queries_are_not_broadcast(spark):
+@pytest.mark.parametrize("search", [exact_search, binary_search])
+def test_search_queries_are_not_broadcast(spark, search):
     vectors = spark.range(0, 20_000, 1, 4).selectExpr("id AS vec_id", "transform(sequence(1, 8), i -> pmod(xxhash64(id, i), 1000) / 1000 - 0.5) AS embedding")
-    found = exact_search(vectors, F.expr("_id % 50 = 0"))
+    found = search(vectors, F.expr("_id % 50 = 0"))
     assert found.count() == 2000
     found.collect()
     assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
