@@ -23,8 +23,10 @@ from loomgraph.llm.row_types import with_id
 BUCKET_BITS, GRAMS, WINDOW, SMOOTH = 18, (3, 4, 5), 12, 4.0
 #: Labelled documents that training sees at most, of class 0 and of class 1, by the order of a hash of the id, one text an id, and the bytes of their texts at most: a bounded sample.
 TRAIN_DOCS, TRAIN_BYTES = (1600, 800), (1 << 24, 1 << 23)
-#: Bytes of text held in arrays at once; longer texts are scored a part at a time.
-BATCH_BYTES = 1 << 20
+#: Bytes of text held in arrays at once (some 150 bytes of memory each); longer texts are scored a part at a time.
+BATCH_BYTES = 1 << 18
+#: Rows given back at once.
+BATCH_ROWS = 1024
 #: ASCII letters and digits stay, other ASCII becomes a space; bytes of other characters stay.
 KEPT = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -111,7 +113,7 @@ def gathered(texts: list[bytes]) -> Bags:
     part: list[bytes] = []
     for i, text in enumerate(texts):
         part.append(text)
-        if sum(map(len, part)) < BATCH_BYTES // 4 and i + 1 < len(texts):
+        if sum(map(len, part)) < BATCH_BYTES and i + 1 < len(texts):
             continue
         b = bags(part).distinct()
         fresh = ~np.isin(b.whole, known)
@@ -266,25 +268,27 @@ def toxicity(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
-        for b in batches:
-            texts = b.column(1)
-            out: list[np.ndarray] = []
-            part, size = [], 0
-            for i in range(b.num_rows):
-                text = cleaned(texts[i].as_py())
-                alone = len(text) > BATCH_BYTES
-                if part and (alone or size >= BATCH_BYTES):
+        for whole in batches:
+            for at in range(0, whole.num_rows, BATCH_ROWS):
+                b = whole.slice(at, BATCH_ROWS)
+                texts = b.column(1)
+                out: list[np.ndarray] = []
+                part, size = [], 0
+                for i in range(b.num_rows):
+                    text = cleaned(texts[i].as_py())
+                    alone = len(text) > BATCH_BYTES
+                    if part and (alone or size >= BATCH_BYTES):
+                        out.append(own.scores(part))
+                        part, size = [], 0
+                    if alone:
+                        out.append(np.array([own.long_score(text)]))
+                    else:
+                        part.append(text)
+                        size += len(text)
+                if part:
                     out.append(own.scores(part))
-                    part, size = [], 0
-                if alone:
-                    out.append(np.array([own.long_score(text)]))
-                else:
-                    part.append(text)
-                    size += len(text)
-            if part:
-                out.append(own.scores(part))
-            score = pa.array(np.concatenate(out) if out else np.zeros(0))
-            yield pa.RecordBatch.from_arrays([b.column(0), score, *([texts] if with_text else [])], names=[id_col, "score", *([text_col] if with_text else [])])
+                score = pa.array(np.concatenate(out) if out else np.zeros(0))
+                yield pa.RecordBatch.from_arrays([b.column(0), score, *([texts] if with_text else [])], names=[id_col, "score", *([text_col] if with_text else [])])
 
     scored = docs.select(f"`{id_col}`", f"`{text_col}`").mapInArrow(score, with_id(docs, id_col, f"score double, `{text_col}` string" if with_text else "score double"))
     return scored.select(f"`{id_col}`", *([f"`{text_col}`"] if with_text else []), F.expr(f"coalesce(crc32(cast(`{id_col}` AS string)) % 5 = 0, false)").alias("held_out"), "score", F.expr("cast(score >= 0.5 AS int)").alias("predicted"))

@@ -4,9 +4,11 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -19,7 +21,7 @@ from loomgraph.llm.sentencepiece_codec import encode_decode, sentencepiece_codec
 from loomgraph.llm.simhash_dedup import codewords, fingerprint, fuzzy_keys, links, near_codewords, simhash_dedup
 from loomgraph.llm.source_mix import source_mix
 from loomgraph.llm.token_counts import Counter, token_counts
-from loomgraph.llm.toxicity import cleaned, train
+from loomgraph.llm.toxicity import Model, cleaned, toxicity, train
 from loomgraph.llm.warc_table import read_chunks, warc_round_trip, write_archives, chunk_table
 from loomgraph.plans.components import connected_labels
 from loomgraph.plans.shared import shared_dir
@@ -555,3 +557,18 @@ def test_search_queries_are_not_broadcast(spark, search):
     assert found.count() == 2000
     found.collect()
     assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_toxicity_scores_in_little_memory(spark, monkeypatch):
+    held = []
+    rows = docs(spark, [(1, "a")])
+    mapped = type(rows).mapInArrow
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda self, f, *more: held.append(f) or mapped(self, f, *more))
+    toxicity(rows, Model(np.zeros(1 << 18), 0.0), with_text=True)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(2000)), "text": ["some words of a text " * 100] * 2000})
+    tracemalloc.start()
+    try:
+        assert sum(b.num_rows for b in held[0](iter([batch]))) == 2000
+        assert tracemalloc.get_traced_memory()[1] < 60 << 20
+    finally:
+        tracemalloc.stop()
