@@ -19,7 +19,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
-from itertools import pairwise, repeat
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -64,8 +64,8 @@ def build(model_path: str):
     return tok
 
 
-#: What is remembered of a word: its ids as 32-bit integers and as decimal numbers each after a comma, its decoded text, whether both libraries agree.
-Word = tuple[bytes, str, str, bool]
+#: A word's ids as 32-bit integers or as decimal numbers each after a comma, its decoded text, whether both libraries agree.
+Word = tuple[bytes | str, str, bool]
 
 
 def by_words(m: PieceModel) -> bool:
@@ -74,11 +74,12 @@ def by_words(m: PieceModel) -> bool:
 
 
 class Codec:
-    """Both libraries for one model file."""
+    """Both libraries for one model file; ids are given as decimal numbers, or ``raw`` as 32-bit integers."""
 
-    def __init__(self, model_path: str):
+    def __init__(self, model_path: str, raw: bool = True):
         import sentencepiece
 
+        self.raw = raw
         self.tok, self.truth = build(model_path), sentencepiece.SentencePieceProcessor(model_file=model_path)
         m = read_model(model_path)
         self.by_words = by_words(m)
@@ -87,7 +88,8 @@ class Codec:
         self.digits = np.array([len(x) for x in self.number])
         self.row_tok = build(model_path)
         self.row_tok.pre_tokenizer = None  # a row's words differ, so none would come from its cache
-        self.words: dict[str, Word] = {}
+        self.words: dict[str, bytes | str] = {}  # ids of words on which both libraries agree and that decode to themselves
+        self.odd: dict[str, Word] = {}  # other words
 
     def whole(self, texts: list[str], tok=None) -> list[tuple[list[int], str, bool]]:
         """(ids, decoded text, parity) of each text, compared as a whole."""
@@ -115,59 +117,86 @@ class Codec:
             return []
         return text.split(" ") if "  " not in text and text[0] != " " else [w[1:] for w in re.findall(" +[^ ]*", " " + text)]
 
-    def learn(self, words: set[str]) -> dict[str, Word]:
-        """Remembers ``words``; what is known of long ones, which aren't remembered, is returned."""
-        if len(self.words) > WORDS_KEPT:
-            self.words.clear()
-        new = words.difference(self.words)
+    def coded(self, ids: list[int]) -> bytes | str:
+        return np.array(ids, np.int32).tobytes() if self.raw else "".join(map(self.number.__getitem__, ids))
+
+    def learn(self, words: set[str]) -> None:
+        """Remembers ``words``."""
+        if len(self.words) + len(self.odd) > WORDS_KEPT:
+            self.forget()
+        new = words.difference(self.words, self.odd)
         if "" in new:  # the space mark alone, which neither library gives for an empty text
+            new.remove("")
             i = self.truth.piece_to_id(SPACE)
-            self.words[""] = np.array([i], np.int32).tobytes(), self.number[i], "", self.tok.token_to_id(SPACE) == i
-        plain = [w for w in new if w and w[0] != " " and len(w) <= LONG_WORD]
+            self.keep("", self.coded([i]), "", self.tok.token_to_id(SPACE) == i)
+        plain, alone = [], []
+        for w in new:
+            (plain if len(w) <= LONG_WORD and w[0] != " " else alone).append(w)
         for at in range(0, len(plain), ROW_WORDS):
-            self.learn_row(plain[at : at + ROW_WORDS])
-        alone = [w for w in new if w not in self.words]
-        got = {w: (np.array(ids, np.int32).tobytes(), "".join(map(self.number.__getitem__, ids)), text, same) for w, (ids, text, same) in zip(alone, self.whole(alone), strict=True)}
-        self.words.update((w, x) for w, x in got.items() if len(w) <= LONG_WORD)
-        return {w: x for w, x in got.items() if len(w) > LONG_WORD}
-
-    def learn_row(self, row: list[str]) -> None:
-        """Words in a row, encoded, compared and decoded as one text and cut where pieces with a space mark begin; nothing where the libraries differ or the cuts don't fit."""
+            alone += self.learn_row(plain[at : at + ROW_WORDS])
+        for w, (ids, text, same) in zip(alone, self.whole(alone), strict=True):
+            self.keep(w, self.coded(ids), text, same)
+
+    def keep(self, word: str, ids: bytes | str, text: str, same: bool) -> None:
+        if same and text == word and len(word) <= LONG_WORD:
+            self.words[word] = ids
+        else:
+            self.odd[word] = ids, text, same
+
+    def forget(self) -> None:
+        self.words.clear()
+        self.odd.clear()
+
+    def learn_row(self, row: list[str]) -> list[str]:
+        """Words in a row, encoded, compared and decoded as one text and cut where pieces with a space mark begin; all are given back where the libraries differ or the cuts don't fit."""
         ((ids, text, same),) = self.whole([" ".join(row)], self.row_tok)
         flat = np.array(ids, np.int32)
         begin = np.flatnonzero(self.begins[flat])
         texts = text.split(" ")
         if not same or len(begin) != len(row) or len(texts) != len(row):
-            return
-        raw, numbers = flat.tobytes(), "".join(map(self.number.__getitem__, ids))
-        digits = np.concatenate([[0], np.cumsum(self.digits[flat])])
-        at, to = (4 * np.append(begin, len(ids))).tolist(), digits[np.append(begin, len(ids))].tolist()
-        self.words.update(zip(row, zip([raw[i:j] for i, j in pairwise(at)], [numbers[i:j] for i, j in pairwise(to)], texts, repeat(True))))
-
-    def encode_decode(self, texts: list[str]) -> Iterator[tuple[bytes, str, str, bool]]:
-        """(ids as 32-bit integers, as decimal numbers, decoded text, parity) of each text; a null or empty one has no ids."""
-
-        def told(ids: list[int], text: str, same: bool) -> tuple[bytes, str, str, bool]:
-            return np.array(ids, np.int32).tobytes(), ",".join(map(str, ids)), text, same
+            return row
+        begin = np.append(begin, len(ids))
+        if self.raw:
+            joined, cuts = flat.tobytes(), (4 * begin).tolist()
+        else:
+            joined, cuts = self.coded(ids), np.concatenate([[0], np.cumsum(self.digits[flat])])[begin].tolist()
+        parts = [joined[i:j] for i, j in pairwise(cuts)]
+        if texts == row:
+            self.words.update(zip(row, parts))
+        else:
+            for w, x, t in zip(row, parts, texts, strict=True):
+                self.keep(w, x, t, True)
+        return []
+
+    def encode_decode(self, texts: list[str]) -> Iterator[tuple[bytes | str, int, str, bool]]:
+        """(ids, how many, decoded text, parity) of each text, numbers joined by commas; a null or empty text has no ids."""
+
+        def told(ids: bytes | str, text: str, same: bool) -> tuple[bytes | str, int, str, bool]:
+            return (ids, len(ids) // 4, text, same) if self.raw else (ids[1:], ids.count(","), text, same)
 
         if not self.by_words:
-            yield from (told(*x) for x in self.whole(texts))
+            yield from (told(self.coded(ids), text, same) for ids, text, same in self.whole(texts))
             return
         parts = list(map(self.split, texts))
-        rare = self.learn(set().union(*parts))
-        known = {**self.words, **rare} if rare else self.words
+        self.learn(set().union(*parts))
+        known, nothing = self.words.__getitem__, b"" if self.raw else ""
         for text, words in zip(texts, parts, strict=True):
-            found = list(map(known.__getitem__, words))
-            ids, numbers, decoded, same = zip(*found) if found else ((), (), (), ())
-            if all(same):
-                yield b"".join(ids), "".join(numbers)[1:], " ".join(decoded), True
+            if self.odd.keys().isdisjoint(words):
+                yield told(nothing.join(map(known, words)), " ".join(words), True)
+                continue
+            found = [self.odd[w] if w in self.odd else (known(w), w, True) for w in words]
+            if all(same for _, _, same in found):
+                yield told(nothing.join([x for x, _, _ in found]), " ".join([t for _, t, _ in found]), True)
             else:
-                yield told(*self.whole([text])[0])
+                ((ids, decoded, same),) = self.whole([text])
+                yield told(self.coded(ids), decoded, same)
+        for w in [w for w in self.odd if len(w) > LONG_WORD]:  # long ones aren't remembered
+            del self.odd[w]
 
 
 @lru_cache(2)
-def codec(model_path: str) -> Codec:
-    return Codec(model_path)
+def codec(model_path: str, raw: bool = True) -> Codec:
+    return Codec(model_path, raw)
 
 
 def encode_decode(texts: list[str], model_path: str) -> list[tuple[list[int], str, bool]]:
@@ -193,17 +222,16 @@ def sentencepiece_codec(docs: DataFrame, model_path: str, *, id_col: str = "doc_
             for at in range(0, big.num_rows, 256):
                 b = big.slice(at, 256)
                 texts = b.column(1).to_pylist()
-                raw, numbers, decoded, same = zip(*codec(model_path).encode_decode(texts))
-                n = [len(x) // 4 for x in raw]
+                coded, n, decoded, same = zip(*codec(model_path, ids).encode_decode(texts))
                 cols = [b.column(0), pa.array(n, pa.int64())]
                 if ids:
-                    flat = pa.Array.from_buffers(pa.int32(), sum(n), [None, pa.py_buffer(b"".join(raw))])
+                    flat = pa.Array.from_buffers(pa.int32(), sum(n), [None, pa.py_buffer(b"".join(coded))])
                     cols += [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), flat), pa.array(decoded, pa.string())]
                 else:
-                    cols += [pa.array([sha256(x.encode()).hexdigest() for x in numbers]), pa.array([sha256(x.encode()).hexdigest() for x in decoded])]
+                    cols += [pa.array([sha256(x.encode()).hexdigest() for x in coded]), pa.array([sha256(x.encode()).hexdigest() for x in decoded])]
                 cols += [pa.array([d == t for d, t in zip(decoded, texts, strict=True)]), pa.array(same, pa.bool_())]
                 yield pa.RecordBatch.from_arrays(cols, names=[id_col, *names])
-        codec(model_path).words.clear()  # an idle worker holds no words
+        codec(model_path, ids).forget()  # an idle worker holds no words
 
     own = "token_ids array<int>, decoded string" if ids else "ids_sha256 string, decoded_sha256 string"
     return base.mapInArrow(code, with_id(docs, id_col, f"n_tokens bigint, {own}, round_trip boolean, parity boolean"))

@@ -572,3 +572,23 @@ def test_toxicity_scores_in_little_memory(spark, monkeypatch):
         assert tracemalloc.get_traced_memory()[1] < 60 << 20
     finally:
         tracemalloc.stop()
+
+
+def test_codec_keeps_words_in_one_form(spark, truth):
+    """A remembered word is its ids in the form asked for, and nothing else; texts come out the same in both."""
+    from loomgraph.llm.sentencepiece_codec import Codec
+
+    texts = ["", *ODD_TEXTS, *texts_of(spark)[:20], "w" * 70 + " again " + "w" * 70]
+    for raw, kind in ((True, bytes), (False, str)):
+        c = Codec(queries.model_path(), raw)
+        for _ in range(2):
+            for t, (ids, n, text, same) in zip(texts, c.encode_decode(texts), strict=True):
+                want = truth.encode(t)
+                assert ids == (np.array(want, np.int32).tobytes() if raw else ",".join(map(str, want)))
+                assert n == len(want) and same and text == t.replace("▁", " ")
+        assert len(c.words) > 100 and {type(x) for x in c.words.values()} == {kind} and max(map(len, c.words)) <= 64
+    whole = c.whole
+    c.whole = lambda rows, tok=None: [(ids, t.replace("zzodd", "zzeven"), same and "zzoff" not in x) for x, (ids, t, same) in zip(rows, whole(rows, tok))]
+    got = list(c.encode_decode(["a zzodd text", "a zzoff one", "a text"]))
+    assert [x[2:] for x in got] == [("a zzeven text", True), ("a zzoff one", False), ("a text", True)]
+    assert [x[0] for x in got] == [",".join(map(str, truth.encode(t))) for t in ("a zzodd text", "a zzoff one", "a text")]
