@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.plans import blocks
+
 
 def triplets(edges: DataFrame, values: DataFrame) -> DataFrame:
     """Edges with both ends' values: src_* and dst_* for each column of ``values`` (vertex, ...)."""
@@ -30,8 +32,11 @@ def top_k_edges(edges: DataFrame, by: Column, k: int, per: tuple[str, ...] = ("s
     return edges.withColumn("_n", F.row_number().over(Window.partitionBy(*per).orderBy(by, "dst"))).where(F.col("_n") <= k).drop("_n")
 
 
-def common_neighbors(edges: DataFrame, pairs: DataFrame) -> DataFrame:
-    """first, second, neighbor for every neighbour that both ends of a pair have."""
+def common_neighbors(edges: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """first, second, neighbor for every neighbour that both ends of a pair have. By default the pairs are the edges."""
+    if pairs is None and blocks.numbered(edges):
+        return blocks.shared_by_edges(blocks.cut(edges.select("src", "dst")), ("first", "second", "neighbor"))
+    pairs = edges.select(F.col("src").alias("first"), F.col("dst").alias("second")).distinct() if pairs is None else pairs
     e = edges.select("src", "dst").distinct()
     return pairs.join(e.select(F.col("src").alias("first"), F.col("dst").alias("neighbor")), "first").join(e.select(F.col("src").alias("second"), F.col("dst").alias("neighbor")), ["second", "neighbor"]).select("first", "second", "neighbor")
 

@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+from itertools import combinations, permutations
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.graph import Graph
+from loomgraph.operators.community import triangles
+from loomgraph.plans.blocks import numbered
 from loomgraph.plans.shared import written
 
 
 def subgraph_monomorphism(g: Graph, pattern: list[tuple[int, int]]) -> DataFrame:
-    """A column for each pattern vertex, a row for each injective mapping that keeps the pattern's edges. The pattern is connected."""
-    e, _ = written(g.edges.where("src != dst").select("src", "dst").distinct())
+    """A column for each pattern vertex, a row for each injective mapping that keeps the pattern's edges. The pattern is connected. Where it holds a triangle, triangles come first, so that their wedges are joined to nothing."""
     left, known, out = list(dict.fromkeys(tuple(sorted(x)) for x in pattern)), [], None
+    three = next((x for x in combinations(sorted({v for p in left for v in p}), 3) if all(y in left for y in combinations(x, 2))), None)
+    if three and not g.directed and numbered(g.edges):
+        ways = F.array(*[F.struct(*[F.col(c).alias(f"v{v}") for v, c in zip(three, way, strict=True)]) for way in permutations("abc")])
+        out, known, left = triangles(g).select(F.explode(ways).alias("x")).select("x.*"), list(three), [x for x in left if not set(x) <= set(three)]
+    e, _ = written(g.edges.where("src != dst").select("src", "dst").distinct()) if left else (None, None)
     while left:
         at = next((x for x in left if known and (x[0] in known or x[1] in known)), left[0] if not known else None)
         if at is None:

@@ -1,10 +1,13 @@
 """Operators on blocks of whole rows: results against plain loops over a small graph, and what they shuffle."""
 
+from itertools import permutations
+
 import numpy as np
 import pytest
 
+from loomgraph.functions import common_neighbors
 from loomgraph.graph import Graph
-from loomgraph.operators import similarity, structure
+from loomgraph.operators import community, patterns, similarity, structure
 from loomgraph.plans import blocks
 
 N = 60
@@ -83,3 +86,42 @@ def test_two_hop_of_a_directed_graph(pairs, small_blocks, spark):
     assert "Join" not in plan(got)
     assert sorted(map(tuple, got.collect())) == sorted({(a, d) for a, b in pairs for c, d in pairs if b == c})
     assert structure.two_hop(Graph(e.where("src < 0"), directed=True)).isEmpty()
+
+
+def triangles_of(near):
+    return sorted((a, b, c) for a in near for b in near[a] for c in near[a] if a < b < c and c in near[b])
+
+
+@pytest.mark.parametrize("far", [False, True])
+def test_triangles_join_no_wedges(graph, near, small_blocks, far):
+    wide = Graph(graph.edges.selectExpr("src * 1000000000000 AS src", "dst * 1000000000000 AS dst")) if far else graph
+    got = community.triangles(wide)
+    assert "Join" not in plan(got)
+    by = 10**12 if far else 1
+    assert sorted(tuple(sorted(x // by for x in r)) for r in got.collect()) == triangles_of(near)
+
+
+@pytest.mark.parametrize("k", [2, 3, 4, 5])
+def test_truss(graph, near, small_blocks, k):
+    left = {(a, b) for a in near for b in near[a] if a < b}
+    while True:
+        weak = {(a, b) for a, b in left if sum((min(a, c), max(a, c)) in left and (min(b, c), max(b, c)) in left for c in near) < k - 2}
+        if not weak:
+            break
+        left -= weak
+    assert set(map(tuple, community.k_truss(graph, k).collect())) == left
+
+
+def test_common_neighbors_of_edges_join_no_wedges(pairs, small_blocks, spark):
+    got = common_neighbors(spark.createDataFrame(pairs, "src bigint, dst bigint"))
+    assert "Join" not in plan(got)
+    there = set(pairs)
+    assert sorted(map(tuple, got.collect())) == sorted((a, b, n) for a, b in pairs for n in range(N) if (a, n) in there and (b, n) in there)
+
+
+def test_pattern_with_a_triangle_starts_from_triangles(graph, near):
+    got = patterns.subgraph_monomorphism(graph, [(1, 2), (2, 3), (3, 1), (3, 4)])
+    want = [(p, q, r, s) for a, b, c in triangles_of(near) for p, q, r in permutations((a, b, c)) for s in near[r] if s not in (p, q, r)]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    alone = patterns.subgraph_monomorphism(graph, [(1, 2), (2, 3), (3, 1)])
+    assert "Join" not in plan(alone) and alone.count() == 6 * len(triangles_of(near))
